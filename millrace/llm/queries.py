@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixture, quality_rules, simhash
+from millrace.llm import decontaminate, mixture, quality_gam, quality_rules, simhash, token_orc, warc
 
 
-def _documents(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: report(spark.read.parquet(f"{folder}/documents.parquet"))
+def _over(report: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: report(*[spark.read.parquet(f"{folder}/{t}.parquet") for t in tables])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_simhash_near_dedup": _documents(simhash.report),
-    "op6_mixture": _documents(mixture.report),
-    "op10_quality_rules": _documents(quality_rules.report),
+    "op1_quality_gam": _over(quality_gam.report, "documents", "labels"),
+    "op2_simhash_near_dedup": _over(simhash.report, "documents"),
+    "op4_decontaminate": _over(decontaminate.report, "documents", "benchmark"),
+    "op6_mixture": _over(mixture.report, "documents"),
+    "op8_warc": _over(warc.report, "pages"),
+    "op9_token_orc": _over(token_orc.report, "documents"),
+    "op10_quality_rules": _over(quality_rules.report, "documents"),
 }
 
 ORACLES: dict[str, str] = {
