@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(__import__("shutil").rmtree, _OWN["dir"].removeprefix("file://"), ignore_errors=True)
+        atexit.register(shutil.rmtree, _OWN["dir"].removeprefix("file://"), ignore_errors=True)
     return _OWN["dir"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    if path.startswith("file:"):  # on a local disk they go with this process; a cluster's store has its own expiry
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return path
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, mixture, quality_gam, quality_rules, simhash, token_orc, warc
+import corpus_pipeline
+from millrace.llm import decontaminate, licenses, line_dedup, mixture, pii, quality_gam, quality_rules, simhash, token_orc, warc
 
 
 def _over(report: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,13 +17,19 @@ def _over(report: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": _over(quality_gam.report, "documents", "labels"),
     "op2_simhash_near_dedup": _over(simhash.report, "documents"),
+    "op3_pii": _over(pii.report, "documents"),
     "op4_decontaminate": _over(decontaminate.report, "documents", "benchmark"),
+    "op5_licenses": _over(licenses.report, "documents"),
     "op6_mixture": _over(mixture.report, "documents"),
+    "op7_line_dedup": _over(line_dedup.report, "documents"),
     "op8_warc": _over(warc.report, "pages"),
     "op9_token_orc": _over(token_orc.report, "documents"),
     "op10_quality_rules": _over(quality_rules.report, "documents"),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_licenses": licenses.oracle(),
     "op6_mixture": mixture.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
 }
