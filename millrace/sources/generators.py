@@ -1,0 +1,27 @@
+"""Deterministic generators: the same seed gives the same rows, whatever the partitioning."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TYPES = ["view", "cart", "purchase", "refund"]
+COUNTRIES = ["BR", "US", "AR", "MX", "PT"]
+
+
+def _u(id: str, seed: int, salt: str) -> F.Column:
+    """Uniform in [0, 1) from a hash of the id: no random state that depends on partitions."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}:{salt}"), F.col(id)), 11).cast("double") / float(1 << 53)
+
+
+def make_users(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+    country = F.element_at(F.array(*map(F.lit, COUNTRIES)), (F.floor(_u("id", seed, "c") * len(COUNTRIES)) + 1).cast("int"))
+    return spark.range(1, n + 1).select(F.col("id").alias("user_id"), country.alias("country"), F.date_add(F.lit("2023-01-01").cast("date"), F.floor(_u("id", seed, "d") * 365).cast("int")).alias("signup_date"), F.concat(F.lit("user-"), F.col("id").cast("string")).alias("name"))
+
+
+def make_events(spark: SparkSession, n: int, n_users: int, hot_share: float = 0.4, days: int = 30, seed: int = 7) -> DataFrame:
+    """Events with one hot user who has ``hot_share`` of them."""
+    user = F.when(_u("id", seed, "h") < hot_share, F.lit(1)).otherwise(F.floor(_u("id", seed, "u") * n_users) + 1).cast("long")
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), F.when(_u("id", seed, "t") < 0.7, 1).when(_u("id", seed, "t") < 0.85, 2).when(_u("id", seed, "t") < 0.97, 3).otherwise(4))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.floor(_u("id", seed, "s") * days * 86400))
+    return spark.range(n).select(F.col("id").alias("event_id"), user.alias("user_id"), kind.alias("event_type"), F.round(_u("id", seed, "a") * 500, 2).alias("amount"), at.alias("event_ts"))
