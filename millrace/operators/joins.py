@@ -10,7 +10,7 @@ BROADCAST_BYTES = 32 << 20
 
 def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint if the optimizer's size estimate is within ``most_bytes``; else ``df`` as it is, to be joined by shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= most_bytes else df
 
 
