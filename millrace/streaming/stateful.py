@@ -10,7 +10,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def running_counts(events: DataFrame, key: str = "user_id", ttl_minutes: int = 60) -> DataFrame:
-    """``key, events``: the count so far of each key that a batch touches; state goes after ``ttl_minutes`` without an event."""
+    """``key, events``: the count so far of each key that a batch touches; state goes after ``ttl_minutes`` without an event.
+
+    Timeouts by the clock keep a query alive: start it with an interval, not with ``availableNow``.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

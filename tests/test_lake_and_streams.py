@@ -177,6 +177,11 @@ def test_running_counts(spark, tmp_path):
     (src / "0.json").write_text("".join(json.dumps({"user_id": u}) + "\n" for u in "aab"))
     df = spark.readStream.schema("user_id string").json(str(src))
     out = {}
-    q = stateful.running_counts(df).writeStream.outputMode("update").foreachBatch(lambda b, n: out.update({r["key"]: r["events"] for r in b.collect()})).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = stateful.running_counts(df).writeStream.outputMode("update").foreachBatch(lambda b, n: out.update({r["key"]: r["events"] for r in b.collect()})).option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:  # timeouts keep such a query alive, so it is stopped when the rows are through
+        for _ in range(60):
+            if out == {"a": 2, "b": 1} or q.awaitTermination(1):
+                break
+    finally:
+        q.stop()
     assert out == {"a": 2, "b": 1}

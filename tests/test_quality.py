@@ -34,11 +34,11 @@ def test_clean_batch_is_published(spark):
 
 
 def test_bad_rows_go_to_quarantine_with_all_reasons(spark):
-    out = E.run(batch(spark, at={0: ("0", "-1", "XX", "2024-01-01T10:00:00"), 1: (None, "abc", "SP", "x")}), C.parse(RAW), NOW)
+    out = E.run(batch(spark, at={0: ("0", "-1", "XX", "2024-01-01T10:00:00"), 1: ("1", "abc", "SP", "x")}), C.parse(RAW), NOW)
     assert out.status == "published" and out.warnings == ["check accepted_values:uf failed"]
     lost = {r["id"]: r for r in out.quarantine.collect()}
     assert lost["0"]["reasons"] == ["range:amount"] and lost["0"]["amount"] == "-1"
-    assert lost[None]["reasons"] == ["type_cast:amount", "type_cast:at", "not_null:id"]
+    assert lost["1"]["reasons"] == ["type_cast:amount", "type_cast:at"]
     assert out.published.count() + out.quarantine.count() == 20
 
 
