@@ -39,9 +39,9 @@ class Band:
 
 #: Very short texts are mostly frame header, so they have no limits; longer ones share more context.
 DOCUMENT_BANDS = (Band(0, 0.0, float("inf")), Band(256, 1.05, 5.0), Band(1024, 1.2, 6.0), Band(4096, 1.35, 8.0), Band(32768, 1.5, 10.0))
-#: A chunk sees only itself, so one pair of limits holds for all full chunks.
+#: A chunk sees only itself, so one pair of limits, a document's of that size, holds for all full chunks.
 CHUNK_BYTES = 4096
-CHUNK_BAND = Band(CHUNK_BYTES, 1.25, 8.0)
+CHUNK_BAND = Band(CHUNK_BYTES, 1.35, 8.0)
 #: A text goes when more than this share of its full chunks is outside the chunk band.
 CHUNK_SHARE = 0.25
 

@@ -1,0 +1,435 @@
+"""The training-data operators against brute force, round trips and held-out rows, on small tables."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from millrace.llm import common, decontaminate, licenses, line_dedup, mixture, pii, quality_gam, quality_rules, simhash, token_orc, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, rules string, id string"
+EDGE = [
+    (1, "", "a", "x", "x"), (2, None, None, None, None), (3, "one", "a", "x", "x"), (3, "one", "a", "x", "x"), (None, "no id at all here", "b", "x", "x"), (5, "   word\x1cword É ß İ", "b", "x", "x"),
+    (6, "rep eat the same words now " * 40, "a", "x", "x"), (7, "x" * 300_000, "a", "x", "x"), (8, "<|endoftext|> it's A 123 é ñ", None, "x", "x"), (9, "line one is here\nline one is here\n\n  \nlast", "b", "x", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(EDGE, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# ---- quality rules ---------------------------------------------------------------------------
+def brute_rules(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = set()
+    for i in range(len(words) - 4):
+        if grams[tuple(words[i : i + 5])] > 1:
+            hit |= set(range(i, i + 5))
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
+
+
+def test_rules_equal_brute_force(spark, docs, texts, edge):
+    got = {r["doc_id"]: r for r in quality_rules.report(docs).collect()}
+    for d, t in texts.items():
+        want = brute_rules(t)
+        assert tuple(got[d][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert got[d]["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (got[d]["base_failed"] and got[d]["kept"])
+    rows = quality_rules.report(edge).collect()
+    assert len(rows) == len(EDGE) and all(r["base_failed"] for r in rows if r["doc_id"] in (1, 2, 3, 6))
+    kept = quality_rules.keep(edge)
+    assert kept.columns == edge.columns and quality_rules.keep(empty(spark)).count() == 0
+
+
+def test_long_texts_count_repeats_like_short_ones():
+    words = [b"w%d" % (i * 7919 % 5003) for i in range(30_000)]
+    assert quality_rules.repeat_words(words * 4) == 120_000  # over the limit for plain counting
+    assert quality_rules.repeat_words(words[:5000]) == brute_rules(" ".join(w.decode() for w in words[:5000]))[4]
+
+
+def test_compression_bands():
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    noise = base64.b64encode(np.random.default_rng(1).bytes(30_000))
+    m = quality_rules.measure(noise, packer)
+    assert not quality_rules.in_band(m[5], len(noise)) and m[7] == m[6] > 0
+    same = b"all work and no play " * 2000
+    assert not quality_rules.in_band(len(same) / len(packer.compress(same)), len(same))
+
+
+# ---- classifier ------------------------------------------------------------------------------
+def test_classifier_on_held_out_rows(spark, docs, edge):
+    labels = spark.createDataFrame([(r[0], int(r[1])) for r in docs.select("doc_id", (F.length(F.regexp_replace("text", "[^*#$%&]", "")) < 5).alias("y")).collect()], "doc_id long, quality int")
+    got = quality_gam.report(docs, labels).join(labels, "doc_id").collect()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+    out = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == r["quality"] for r in out) / len(out) > 0.85
+    again = {r["doc_id"]: r["score"] for r in quality_gam.report(docs.repartition(5), labels).collect()}
+    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-12 for r in got)
+    none = quality_gam.report(edge, spark.createDataFrame([(1, None)], "doc_id long, quality int")).collect()
+    assert len(none) == len(EDGE) and {r["score"] for r in none} == {0.5}
+    assert quality_gam.report(empty(spark), labels).count() == 0
+
+
+def test_model_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(quality_gam.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality_gam.fit(x[:2000], y[:2000], rounds=10)
+    assert {0, 1} in [{a, b} for a, b, _ in m.pairs] and ((m.score(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.85
+
+
+# ---- near duplicates -------------------------------------------------------------------------
+def brute_fingerprint(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    label = dict.fromkeys(fps)
+    for start in sorted(fps):
+        if label[start] is not None:
+            continue
+        todo = [start]
+        label[start] = start
+        while todo:
+            x = todo.pop()
+            for y in fps:
+                if label[y] is None and (x ^ y).bit_count() <= 3:
+                    label[y] = start
+                    todo.append(y)
+    return label
+
+
+def check_near(rows, fps):
+    label = brute_components(set(fps.values()))
+    least = {}
+    for d, f in fps.items():
+        least[label[f]] = min(least.get(label[f], d), d)
+    for r in rows:
+        assert r["component_id"] == least[label[int(r["fingerprint"], 16)]]
+
+
+def test_near_duplicates_equal_brute_force(spark, docs, texts, edge):
+    rows = simhash.report(docs).collect()
+    fps = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
+    assert all(brute_fingerprint(t) == fps[d] for d, t in list(texts.items())[:60])
+    check_near(rows, fps)
+    got = {r["doc_id"]: r for r in simhash.report(edge).collect()}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] == "0" * 16 and got[2]["component_id"] == 1
+    assert simhash.report(empty(spark)).count() == 0
+    kept = simhash.keep(edge)
+    assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} >= {1, 3, None} and kept.where("doc_id = 2").count() == 0
+
+
+def clustered(n, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 64, 6, dtype=np.uint64, endpoint=False)
+    fps = set(rng.integers(0, 1 << 64, n // 4, dtype=np.uint64).tolist())
+    while len(fps) < n:
+        x = int(centres[rng.integers(6)])
+        for b in rng.choice(64, rng.integers(1, 8), replace=False):
+            x ^= 1 << int(b)
+        fps.add(x)
+    return sorted(fps)
+
+
+@pytest.mark.parametrize("overflow", [1 << 19, 40])
+def test_links_connect_what_brute_force_connects(spark, overflow):
+    """Also where anchors hold so many fingerprints that they are dealt out by a second key."""
+    fps = clustered(1500)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), overflow)
+    pairs = [(a % (1 << 64), b % (1 << 64)) for a, b in edges.collect()]
+    parent = {x: x for x in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    label = brute_components(set(fps))
+    assert len({find(x) for x in fps}) == len(set(label.values()))
+    assert all(label[find(x)] == label[x] for x in fps)
+
+
+def test_large_anchors_compare_in_bytes():
+    fp = np.array(clustered(800), np.uint64)
+    full = simhash._links(fp, len(fp))
+    old = simhash._BLOCK
+    simhash._BLOCK = 16
+    try:
+        low_equal = np.unique(fp & np.uint64(0xFFFFFFFF00000000))  # rows of one anchor agree in the other half
+        a = simhash._links(low_equal, len(low_equal), (low_equal >> np.uint64(32)) & np.uint64(0xFFFFFFFF))
+    finally:
+        simhash._BLOCK = old
+    b = simhash._links(low_equal, len(low_equal))
+    assert len(a[0]) == len(b[0]) and len(full[0]) > 0
+
+
+def test_components_of_chains(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
+    assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
+
+
+# ---- decontamination -------------------------------------------------------------------------
+def levenshtein_within(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_myers_equals_dynamic_programming():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        item, text = ("".join(rng.choice(list("abc "), n)) for n in (rng.integers(1, 30), rng.integers(0, 60)))
+        assert decontaminate.Pattern(item).distance(text) == levenshtein_within(item, text)
+
+
+def test_leaks_with_edits_case_and_layout(spark, docs, texts, edge, data):
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    got = {r["doc_id"]: r for r in decontaminate.report(docs, bench).collect()}
+    for d, t in texts.items():
+        inside = sorted(i for i, x in items.items() if decontaminate.normalise(x) in decontaminate.normalise(t))
+        assert set(inside) <= set(got[d]["item_ids"] if d in got else [])
+        near = [i for i, x in items.items() if (n := decontaminate.normalise(x)) and d % 10 == 0 and levenshtein_within(n, decontaminate.normalise(t)[:1500]) <= decontaminate.budget(n)]
+        assert set(near) <= set(got[d]["item_ids"] if d in got else [])
+    one = items[0]
+    edited = one[:40].upper() + "x" + one[42:120].replace(" ", "\n") + one[121:]
+    planted = spark.createDataFrame([(1, f"before {edited} after"), (2, one[: len(one) // 2]), (3, None), (None, one), (4, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.report(planted, bench).collect()}
+    assert set(found) == {1, None} and 0 < found[1]["least_distance"] <= decontaminate.budget(decontaminate.normalise(one)) and found[None]["least_distance"] == 0
+    assert sorted((r["doc_id"] or 0) for r in decontaminate.keep(planted, bench).collect()) == [2, 3, 4]
+    assert decontaminate.report(edge, bench.limit(0)).count() == 0 and decontaminate.report(empty(spark), bench).count() == 0
+    small = decontaminate.matches(docs, bench, block_bytes=200)  # many blocks, the same matches
+    assert small.count() == decontaminate.matches(docs, bench).count()
+    odd = spark.createDataFrame([(1, None), (2, "..."), (3, "yes"), (3, "yes")], "item_id long, text string")
+    hit = decontaminate.matches(spark.createDataFrame([(1, "Yes, yesterday"), (2, "yesterday")], "doc_id long, text string"), odd)
+    assert {(r["doc_id"], r["item_id"]) for r in hit.collect()} == {(1, 3)}
+
+
+# ---- surrogates ------------------------------------------------------------------------------
+def test_surrogates_keep_type_format_and_identity(spark, edge):
+    rows = [
+        (1, "Bob@Mail.example.com bob@mail.example.com +1 (017) 555-7713, +1 017 555 7713", "a", "", ""), (2, 'card 4111 1111 1111 1111 ip 10.2.3.4 token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "a", "", ""),
+        (3, "Mrs. Anna Smith and Mr. John Smith, госпожа Анна Петрова", "a", "", ""), (None, "ssn 123-45-6789", "a", "", ""), (4, "nothing here in 2024", "a", "", ""), (None, "bob@mail.example.com", "a", "", ""),
+    ]
+    got = pii.replace(spark.createDataFrame(rows, SCHEMA)).collect()
+    by = {r["doc_id"]: r for r in got if r["doc_id"]}
+    a, b, c, d = re.match(r"(\S+) (\S+) (.*), (.*)", by[1]["text"]).groups()
+    assert a == b and re.fullmatch(r"[a-z]{3}@[a-z]{4}\.[a-z]{7}\.com", a) and "bob" not in a
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", c) and re.sub(r"\D", "", c) == re.sub(r"\D", "", d) != "10175557713"
+    card = re.sub(r"\D", "", by[2]["text"].split(" ip ")[0])
+    assert sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(card[::-1])) % 10 == 0 and card != "4" + "1" * 15
+    assert re.search(r'ip (\d{1,3}\.){3}\d{1,3} token = "[0-9a-f]{40}"', by[2]["text"]) and "04dbebab" not in by[2]["text"]
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) and Mr\. (\w+) (\w+), госпожа (\w+) (\w+)", by[3]["text"])
+    assert m[2] == m[4] and m[1].endswith("a") and not m[3].endswith("a") and re.fullmatch("[А-Я][а-я]+а", m[5]) and m[2] != "Smith"
+    assert by[4]["text"] == rows[4][1] and by[4]["n_entities"] == 0
+    nulls = sorted(r["text"] for r in got if r["doc_id"] is None)
+    assert a in nulls and any(re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", x) and "123-45" not in x for x in nulls)
+    out = pii.replace(edge).collect()
+    assert len(out) == len(EDGE) and {r["text"] for r in out if r["doc_id"] in (1, 2)} == {"", None}
+    assert pii.replace(empty(spark)).count() == 0
+
+
+def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
+    """Addresses of one letter have 26 surrogates at most: all 20 must still differ, and none be a real one."""
+    names = "abcdefghijklm"
+    docs = spark.createDataFrame([(i, f"mail {c}@q.org now") for i, c in enumerate(names)], "doc_id long, text string")
+    got = [r["text"].split()[1] for r in pii.replace(docs).collect()]
+    assert len(set(got)) == len(names) and not set(got) & {f"{c}@q.org" for c in names}
+
+
+# ---- licenses --------------------------------------------------------------------------------
+def test_licenses_by_canonical_form(spark, edge):
+    mit = licenses.KNOWN["MIT"]
+    changed = "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ;").replace("\n", "\r\n  ") + "\n(C) another"
+    spelled = licenses.KNOWN["Apache-2.0 (line)"].replace("Licensed", "LICENCED")
+    rows = [(1, changed, "", "", ""), (2, mit + " not", "", "", ""), (3, spelled, "", "", ""), (4, None, "", "", ""), (4, "", "", "", "")]
+    got = sorted((r["doc_id"], r["license_id"]) for r in licenses.report(spark.createDataFrame(rows, SCHEMA)).collect() if r["license_id"])
+    assert got == [(1, "MIT"), (3, "Apache-2.0 (line)")]
+    assert licenses.report(edge).count() == len(EDGE) and licenses.report(empty(spark)).count() == 0
+
+
+# ---- mixing ----------------------------------------------------------------------------------
+def water(sizes):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        rest = total - sum(fixed.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s: 3 * sizes[s] for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return fixed | share
+        fixed |= over
+
+
+@pytest.mark.parametrize("bin_rows", [5, 5000])
+def test_mix_targets_epochs_and_reruns(spark, bin_rows):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 30))), s, "", "") for i, s in enumerate(rng.choice(["a", "b", "c", "d", "tiny"], 400, p=[0.6, 0.2, 0.1, 0.09, 0.01]))]
+    rows += [(1000 + i, "some words here", None, "", "") for i in range(5)] + [(2000, None, "a", "", ""), (None, "x y", "a", "", ""), (3, rows[3][1], rows[3][2], "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixture.mix(df, bin_rows=bin_rows).collect()
+    sizes, taken = {}, Counter()
+    for _, t, s, _, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    want = water(sizes)
+    for r in got:
+        s = min(want, key=lambda k: (abs(want[k] - r["target"]), abs(sizes[k] - r["source_size"])))
+        assert abs(want[s] - r["target"]) < 1e-6 and r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[s] += r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 30 for s in want)
+    again = sorted(tuple(str(x) for x in r) for r in mixture.mix(df.repartition(7), bin_rows=bin_rows).collect())
+    assert again == sorted(tuple(str(x) for x in r) for r in got)
+    assert mixture.mix(empty(spark)).count() == 0 and mixture.sample(empty(spark)).count() == 0
+
+
+def test_heavier_documents_are_taken_first(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), F.when(F.col("id") % 2 == 0, 5.0).otherwise(1.0).alias("q"))
+    got = mixture.mix(df, quality=F.col("q")).where("doc_id < 2000 and taken > 0").groupBy((F.col("doc_id") % 2).alias("odd")).count().collect()
+    n = {r["odd"]: r["count"] for r in got}
+    assert n[0] > 1.5 * n[1]
+    every = mixture.sample(df, "doc_id", "text", "source")
+    assert every.columns == df.columns and abs(every.count() - 4000) <= 4
+
+
+# ---- lines -----------------------------------------------------------------------------------
+def test_boilerplate_lines_by_sites(spark):
+    everywhere, often = "read our terms of use", "one site says this a lot"
+    rows = [(i, f"own line number {i}\n  {everywhere}\t\nok go", f"s{i % 6}", "", "") for i in range(30)]
+    rows += [(100 + i, often, "s1", "", "") for i in range(50)] + [(200, None, None, "", ""), (None, everywhere, None, "", ""), (201, f"{everywhere}\n{everywhere}", "s0", "", ""), (202, "", "s0", "", "")]
+    for i, site in enumerate("s0 s1 s2 s3".split()):
+        rows.append((300 + i, "four sites only here", site, "", ""))
+    got = {(r["doc_id"], r["text"]): r for r in line_dedup.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0, "own line number 0\nok go"]["n_removed"] == 1 and (100, often) in got and (300, "four sites only here") in got
+    assert got[201, ""]["n_removed"] == 2 and got[None, ""]["n_removed"] == 1 and got[200, None]["n_lines"] == 0 and got[202, ""]["n_lines"] == 1
+    assert line_dedup.report(empty(spark)).count() == 0
+
+
+def test_exact_count_settles_estimates_near_the_threshold(spark):
+    rows = [(i, f"line of {n} sites here", f"s{k}", "", "") for i, (n, k) in enumerate((n, k) for n in range(30, 60) for k in range(n))]
+    lines = line_dedup.lines_of(spark.createDataFrame(rows, SCHEMA))
+    got = line_dedup.boilerplate(lines, sites=45, band=0.4)
+    assert got.count() == got.distinct().count() == 15
+
+
+# ---- archives --------------------------------------------------------------------------------
+def test_archive_round_trip_rolls_and_repeats(spark, tmp_path):
+    big = "é" * 40_000
+    rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>", "x") for i in range(60)] + [(100, None, None, "x"), (101, "http://a b\n", "", "x"), (None, "u", "<p>3</p>", "x"), (102, "z", big, "x"), (5, "again", "<p>alone</p>", "x"), (102, "z", big, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    last = {}
+    for p, _, h, _ in rows:
+        last[h or ""] = max(last.get(h or "", -1), -1 if p is None else p)
+    made = []
+    for name in ("one", "two"):
+        path = f"file://{tmp_path}/{name}"
+        warc.write(pages.select("page_id", "url", "html") if name == "one" else pages.repartition(1), path, roll_bytes=3000)
+        got = warc.read(spark, path).collect()
+        made.append(sorted(str(r) for r in got))
+        assert len(got) == len(rows) and warc.manifest(spark, path).count() > 2
+        want = Counter()
+        for p, _, h, _ in rows:
+            raw = (h or "").encode()
+            ref = None if last[h or ""] == p else last[h or ""]
+            want[p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if ref is None else "revisit", ref] += 1
+        assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert made[0] == made[1]
+    assert not [f for f in (tmp_path / "one").iterdir() if "_temporary" in f.name]
+    warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+    few = warc.write(pages, f"file://{tmp_path}/few", min_bytes=1000)
+    assert few.count() and {r["page_id"] for r in warc.read(spark, f"file://{tmp_path}/few").where("record_type = 'revisit'").collect()} == set()
+
+
+def test_damage_is_noticed(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame([(1, "u", "hello")], "page_id long, url string, html string"), path)
+    f = next(tmp_path.glob("w/*.warc.gz"))
+    f.write_bytes(f.read_bytes()[:-20])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read(spark, path).count()
+
+
+# ---- token files -----------------------------------------------------------------------------
+def test_token_files_round_trip(spark, docs, texts, edge, tmp_path):
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    ids = lambda t: np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+    got = {r["doc_id"]: r for r in token_orc.round_trip(docs, path).collect()}
+    start = 0
+    for d in sorted(texts):
+        want = ids(texts[d])
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    rows = token_orc.round_trip(edge, path).orderBy("start").collect()
+    assert [r["n_tokens"] for r in rows if r["doc_id"] == 1] == [1] and rows[0]["doc_id"] is None
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in rows) == Counter((e[0], zlib.crc32(ids(e[1]).tobytes())) for e in EDGE)
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()]
+    assert token_orc.round_trip(empty(spark), path).count() == 0
+    out = f"file://{tmp_path}/orc"
+    token_orc.write(docs, out, path)
+    few = token_orc.read(spark, out, ids=[7, 9])
+    assert {r["doc_id"] for r in few.collect()} == {7, 9} and few.first()["tokens"][-1] == 2
+    assert "PushedFilters: [In(doc_id, [7,9])" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    e = token_orc.Encoder(path)
+    text = "Two  spaces, and\nlines: é"
+    assert not e.separable and np.frombuffer(e.encode(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_scratch_is_in_the_shared_folder(spark):
+    assert common.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
