@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +46,10 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Texts, as UTF-8 bytes, to the bytes of their ids (little-endian, unsigned, 32 bits each)."""
 
@@ -56,13 +61,15 @@ class Encoder:
         marks = [t["content"] for t in config["added_tokens"]]
         self.separable = (config["normalizer"], config["pre_tokenizer"]) == _SEPARABLE and all(m.startswith("<|") and not re.search(r"\s", m) for m in marks)
         self.to_units = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(self.to_units(piece)[0][0])], "<u4").tobytes()
+            units = piece if piece.isascii() else self.to_units(piece)[0][0]  # printable ASCII stands for itself
+            found = _as_bytes([t.id for t in self.model.tokenize(units)])
             if len(self.pieces) >= CACHE_WORDS // 2:
                 self.pieces.clear()
             if len(piece) <= 64:
@@ -70,12 +77,12 @@ class Encoder:
         return found
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            found = b"".join([self._piece(p) for p in _PIECES.findall(word.lower())])
+            found = b"".join(map(self._piece, _PIECES.findall(word.lower())))
         else:
             found = self.whole(word)
         if len(raw) <= 64:
