@@ -220,3 +220,83 @@ def advancing(spark, events):
 def rejected(spark, events):
     bad = F.when(F.col("event_id") % 2 == 0, F.lit("{broken")).otherwise(F.lit(json.dumps({"event_id": "x", "page": "p"})))
     return clicks.rejects(clicks.parse(events.where("event_id < 1000").select(bad.alias("value")))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@Q("SRC-19", "SELECT CAST(count(*) AS BIGINT) AS rows FROM orders")
+def inventory(spark, folder):
+    """Rows of the files of a table, from their footers."""
+    return files.footers(spark, f"{folder}/orders.parquet").agg(F.sum("rows").alias("rows"))
+
+
+@Q("SRC-22", "SELECT n_nationkey, n_name FROM nation")
+def one_reader(spark, nation):
+    path = _scratch(spark)
+    nation.select("n_nationkey", "n_name").write.option("header", "true").csv(path)
+    return files.read_any(spark, path, "csv", header="true").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+@Q("SET-04", f"{_ORD}")
+def concatenated(spark, orders):
+    """Several files read as one table."""
+    paths = [_scratch(spark) for _ in range(3)]
+    for i, p in enumerate(paths):
+        orders.select(*_COLS).where(F.col("o_orderkey") % 3 == i).write.parquet(p)
+    return spark.read.parquet(*paths)
+
+
+@Q("SNK-12", "SELECT 2 AS files, CAST(count(*) AS BIGINT) AS rows FROM orders")
+def file_count(spark, orders):
+    path = _scratch(spark)
+    sinks.with_files(orders.select(*_COLS).repartition(6), 2).write.parquet(path)
+    return files.footers(spark, path).agg(F.count("*").cast("int").alias("files"), F.sum("rows").alias("rows"))
+
+
+@Q("SRT-04", "SELECT o_orderkey, o_custkey FROM orders")
+def sorted_files(spark, orders):
+    """Rows in ranges of the key and sorted within files, so that file statistics prune."""
+    t = _table(spark)
+    t.overwrite(orders.select("o_orderkey", "o_custkey").repartition(4))
+    t.cluster(["o_custkey"], 4)
+    return t.read()
+
+
+@Q("SNK-19", "SELECT CAST(user_id AS VARCHAR) AS order_id, event_id AS seq, event_type AS status FROM events WHERE event_id < 2000")
+def event_history(spark, events):
+    """History that takes each event once, though batches overlap and repeat."""
+    t = _table(spark)
+    rows = events.where("event_id < 2000").select(F.col("user_id").cast("string").alias("order_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
+    sink = clicks.LedgerSink(t, ["order_id", "seq"], "history")
+    for number, part in enumerate(["seq < 900", "seq < 1500", "seq >= 1200"]):
+        sink(rows.where(part), number)
+        sink(rows.where(part), number)
+    return t.read()
+
+
+@Q("STM-19", "SELECT e.event_id, c_name FROM events e LEFT JOIN customer ON e.user_id = c_custkey WHERE e.event_id < 3000")
+def stream_static(spark, events, customer):
+    path, t = _click_files(spark, events), _table(spark)
+    users = customer.select(F.col("c_custkey").cast("string").alias("user_id"), "c_name")
+    joined = clicks.enriched(clicks.parse(clicks.replay_source(spark, path, 100)), users).select(F.col("event_id").cast("long").alias("event_id"), "c_name")
+    clicks.run_available(joined, clicks.LedgerSink(t, ["event_id"], "joined"), _scratch(spark), mode="append")
+    return t.read()
+
+
+@Q("JON-22", """WITH l AS (SELECT event_id, user_id, date_trunc('second', ts) AS t FROM events WHERE event_id < 3000 AND event_type = 'view'), r AS (SELECT event_id, user_id, date_trunc('second', ts) AS t FROM events WHERE event_id < 3000 AND event_type = 'purchase')
+SELECT l.event_id AS left_id, r.event_id AS right_id FROM l JOIN r ON l.user_id = r.user_id AND r.t >= l.t AND r.t <= l.t + INTERVAL 600 MINUTE""")
+def stream_stream(spark, events):
+    """Purchases up to ten hours after a view of the same user; state is bounded by both watermarks."""
+    path, t = _click_files(spark, events), _table(spark)
+    side = lambda page: clicks.parse(clicks.replay_source(spark, path, 100)).where(f"valid AND page = '{page}'")
+    joined = clicks.matched_within(side("view"), side("purchase"), "user_id", 600, "3650 days").where("right_id IS NOT NULL")
+    out = joined.select(F.col("left_id").cast("long").alias("left_id"), F.col("right_id").cast("long").alias("right_id"))
+    clicks.run_available(out, clicks.LedgerSink(t, ["left_id", "right_id"], "matched"), _scratch(spark), mode="append")
+    return t.read()
+
+
+@Q("STM-10", "SELECT CAST(count(*) AS BIGINT) AS views FROM events WHERE event_id < 3000")
+def totals(spark, events):
+    """The global window in complete mode."""
+    path, t = _click_files(spark, events), _table(spark)
+    counts = clicks.running_totals(clicks.parse(clicks.replay_source(spark, path, 1))).select("views")
+    clicks.run_available(counts, clicks.LedgerSink(t, ["views"], "totals", combine=lambda old, new: new), _scratch(spark), mode="complete")
+    return t.read()
