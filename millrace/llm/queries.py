@@ -32,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op5_licenses": licenses.oracle(),
     "op6_mixture": mixture.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
