@@ -17,7 +17,7 @@ Q.sql("AGG-07", f"SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderst
 Q.sql("AGG-07b", f"SELECT o_orderstatus, o_orderpriority, {R} AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", tables="orders")
 Q.sql("AGG-07c", "SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS INT) AS gs, CAST(grouping(o_orderpriority) AS INT) AS gp, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", tables="orders")
 Q.sql("AGG-08", f"SELECT * FROM (SELECT o_orderpriority, o_orderstatus, {M} AS amount FROM orders) PIVOT (CAST(sum(amount) AS DECIMAL(18,2)) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", f"SELECT o_orderpriority, CAST(sum({M}) FILTER (WHERE o_orderstatus = 'F') AS DECIMAL(18,2)) AS f, CAST(sum({M}) FILTER (WHERE o_orderstatus = 'O') AS DECIMAL(18,2)) AS o, CAST(sum({M}) FILTER (WHERE o_orderstatus = 'P') AS DECIMAL(18,2)) AS p FROM orders GROUP BY o_orderpriority", tables="orders")
-Q.sql("AGG-09", "SELECT l_orderkey, l_linenumber, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_orderkey <= 500) UNPIVOT (amount FOR measure IN (l_discount, l_tax))", "SELECT l_orderkey, l_linenumber, 'l_discount' AS measure, l_discount AS amount FROM lineitem WHERE l_orderkey <= 500 UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem WHERE l_orderkey <= 500", tables="lineitem")
+Q.sql("AGG-09", "SELECT l_orderkey, l_linenumber, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (amount FOR measure IN (l_discount, l_tax))", "SELECT l_orderkey, l_linenumber, 'l_discount' AS measure, l_discount AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem", tables="lineitem")
 Q.sql("AGG-10", "SELECT o_orderstatus, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS median, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY o_totalprice), 4) AS p95, round(stddev(o_totalprice), 4) AS sd FROM orders GROUP BY o_orderstatus", tables="orders")
 Q.sql("AGG-13", f"SELECT o_custkey, CAST(count(*) AS BIGINT) AS orders, {R} AS lifetime_value, CAST(min(o_orderdate) AS DATE) AS first_order, CAST(max(o_orderdate) AS DATE) AS last_order FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey", tables="orders")
 Q.sql("AGG-14", "SELECT CAST(o_orderdate AS DATE) AS order_date, o_orderstatus, CAST(count(*) AS BIGINT) AS orders FROM orders GROUP BY 1, 2", tables="orders")

@@ -35,12 +35,12 @@ def days(spark):
 
 
 # ---- joins -----------------------------------------------------------------------------------
-@Q("JON-11", """WITH v AS (SELECT o_custkey AS k, o_orderdate AS ts, row_number() OVER w AS no, lead(o_orderdate) OVER w AS nxt FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders WHERE o_orderkey % 3 = 0) t WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)),
+@Q("JON-11", """WITH v AS (SELECT o_custkey AS k, o_orderdate AS ts, row_number() OVER w AS no, lead(o_orderdate) OVER w AS nxt FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'F') t WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)),
 d AS (SELECT k, md5(CAST(k AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')) AS sk, CASE WHEN no = 1 THEN TIMESTAMP '1900-01-01 00:00:00' ELSE ts END AS a, coalesce(nxt, TIMESTAMP '9999-12-31 00:00:00') AS b FROM v)
 SELECT o_orderkey, coalesce(sk, md5('unknown')) AS sk FROM orders LEFT JOIN d ON o_custkey = k AND o_orderdate >= a AND o_orderdate < b""")
 def version_lookup(orders):
-    """Every third order stands for a change of its customer; facts find the version of their time."""
-    versions = orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("changed")).distinct()
+    """Every order of status F stands for a change of its customer; facts find the version of their time."""
+    versions = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("changed")).distinct()
     dim = history.scd2_from_versions(versions, "custkey", "changed")
     facts = orders.select("o_orderkey", F.col("o_custkey").alias("custkey"), "o_orderdate")
     return warehouse.fact_with_versions(facts, dim.select("custkey", "valid_from", "valid_to", "sk"), "custkey", "o_orderdate").select("o_orderkey", "sk")

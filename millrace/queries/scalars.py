@@ -51,8 +51,8 @@ Q("CST-01", "SELECT event_id, TRY_CAST(raw AS BIGINT) AS n, raw IS NOT NULL AND
 )
 Q("ARR-01", "SELECT o_custkey, CAST(len(list_distinct(list(o_orderstatus))) AS INT) AS statuses, list_sort(list_distinct(list(o_orderpriority)))[1] AS first_priority FROM orders GROUP BY 1")(lambda orders: orders.groupBy("o_custkey").agg(F.size(F.collect_set("o_orderstatus")).alias("statuses"), F.sort_array(F.collect_set("o_orderpriority"))[0].alias("first_priority")))
 Q("ARR-02", "SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: length(w) > 8)) AS INT) AS long_words FROM documents")(lambda documents: documents.select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: F.length(w) > 8)).alias("long_words")))
-Q("ARR-03", "SELECT o_orderkey AS pedido, l_partkey AS prod, CAST(l_quantity AS BIGINT) AS qtd FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey <= 1000")(
-    lambda orders, lineitem: orders.where("o_orderkey <= 1000").join(lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.to_json(F.collect_list(F.struct(F.col("l_partkey").alias("prod"), F.col("l_quantity").cast("long").alias("qtd")))).alias("doc")).select(F.col("o_orderkey").alias("pedido"), F.inline(F.from_json("doc", "array<struct<prod:bigint,qtd:bigint>>")))
+Q("ARR-03", "SELECT o_orderkey AS pedido, l_partkey AS prod, CAST(l_quantity AS BIGINT) AS qtd FROM orders JOIN lineitem ON l_orderkey = o_orderkey")(
+    lambda orders, lineitem: orders.join(lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.to_json(F.collect_list(F.struct(F.col("l_partkey").alias("prod"), F.col("l_quantity").cast("long").alias("qtd")))).alias("doc")).select(F.col("o_orderkey").alias("pedido"), F.inline(F.from_json("doc", "array<struct<prod:bigint,qtd:bigint>>")))
 )
 Q("JSN-01", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, false AS corrupt FROM events")(lambda events: events.withColumn("r", F.from_json("props", "k bigint, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})).select("event_id", F.col("r.k").alias("k"), F.col("r._corrupt").isNotNull().alias("corrupt")))
 Q("JSN-02", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) = 3 AS is_three FROM events")(lambda events: events.select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.try_variant_get(F.parse_json("props"), "$.k", "bigint") == 3).alias("is_three")))
