@@ -95,6 +95,17 @@ def robust_z_strict(value: float, history: list[float], least: int = 3) -> float
     return (value - mid) / (1.4826 * mad)
 
 
+def robust_scores(df: DataFrame, value: str, floor_share: float = 0.01) -> DataFrame:
+    """Both robust scores of each row against the whole column: ``score`` with a floor under the MAD, ``strict`` without (null where the MAD is 0 and the value differs)."""
+    c = F.col(value).cast("double")
+    mid = df.agg(F.percentile(c, 0.5).alias("__mid"))
+    mad = df.join(F.broadcast(mid)).agg(F.first("__mid").alias("__mid"), F.percentile(F.abs(c - F.col("__mid")), 0.5).alias("__mad"))
+    off = c - F.col("__mid")
+    score = 0.6745 * off / F.greatest("__mad", F.lit(floor_share) * F.abs("__mid"), F.lit(1e-9))
+    strict = F.when(F.col("__mad") > 0, off / (1.4826 * F.col("__mad"))).when(off == 0, F.lit(0.0))
+    return df.join(F.broadcast(mad)).withColumns({"score": score, "strict": strict}).drop("__mid", "__mad")
+
+
 def _judge(check: Check, value, history: dict[str, list[float]]) -> Result:
     o, skipped = check.options, False
     if check.type == "unique":

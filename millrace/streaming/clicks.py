@@ -151,3 +151,11 @@ def expected_counts(batches: list[list[dict]], delay_s: int = 120, window_s: int
                 users.setdefault((start, e["page"]), set()).add(e["user_id"])
         latest = max([latest] * bool(latest) + [e["event_time"] for e in batch], default=latest)
     return {"windows": {k: (v, len(users[k])) for k, v in out.items()}, "duplicates": dup, "late": late}
+
+
+def topic_lag(log: DataFrame, committed: DataFrame) -> DataFrame:
+    """``partition, size, lag``: rows a log holds and rows past the committed offset; a partition never committed lags by all of it."""
+    ends = log.groupBy("partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
+    joined = ends.join(committed.select("partition", F.col("offset").alias("done")), "partition", "left")
+    behind = F.col("high") - F.greatest(F.coalesce("done", F.lit(0)), F.lit(0))
+    return joined.select("partition", (F.col("high") - F.col("low")).alias("size"), behind.alias("lag"))
