@@ -5,10 +5,10 @@ text, so reruns agree; ``w`` is its quality weight. Documents taken in ascending
 weighted sample without replacement. A source whose target is ``k`` times its size and a rest takes
 every document ``k`` times, whole epochs first, and then documents by key until the rest is spent.
 
-Scale: the order within a source is never one task's sort. Keys fall into bins of about
-``BIN_ROWS`` documents by the key's own distribution, sizes are summed by source and bin (with
-partial sums before the shuffle), the sums run over bins, and only rows of the same source and bin are
-sorted together. Targets come from one row per source.
+Scale: the order within a source is never one task's sort. Keys fall into bins by their logarithm,
+which hold at most about ``BIN_ROWS`` documents whatever the weights are; sizes are summed by source
+and bin (with partial sums before the shuffle), the sums run over bins, and only rows of the same
+source and bin are sorted together. Targets come from one row per source.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; ids
 may be null or repeat: rows equal in id and text share a key and are taken in one go by their
@@ -42,6 +42,12 @@ def uniform(id: Column, text: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def bin_of(key: Column, rows: int, bin_rows: int) -> Column:
+    """A bin that grows with the key. Of exponential keys, whatever their weights, a step of 1 / n in the logarithm holds at most 1 / (e n)."""
+    steps = max(1, math.ceil(rows / (math.e * bin_rows)))
+    return F.coalesce(F.floor(F.log(key) * steps), F.lit(-(1 << 62)))
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """``source, size`` to ``source, source_size, target``: weights 1, 2, 3, repeating, capped at ``CAP`` sizes, the excess reshared by weight.
 
@@ -70,8 +76,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size.alias("size"), (-F.log(uniform(F.col(id), F.coalesce(F.col(text), F.lit("")), seed)) / F.coalesce(weight, F.lit(1.0))).alias("key"))
     rows = materialised(rows, "mix")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    bins = max(1, math.ceil((by_source.agg(F.max("n")).first()[0] or 0) / bin_rows))
-    rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
+    most = by_source.agg(F.max("n")).first()[0] or 0
+    rows = rows.withColumn("bin", bin_of(F.col("key"), most, bin_rows))
     targets = source_targets(by_source.select("source", "size"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("s")).withColumn("start", F.coalesce(F.sum("s").over(before), F.lit(0)))

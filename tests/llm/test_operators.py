@@ -328,6 +328,17 @@ def test_mix_targets_epochs_and_reruns(spark, bin_rows):
     assert mixture.mix(empty(spark)).count() == 0 and mixture.sample(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("low", [0.1, 0.3, 1.0])
+def test_mix_bins_are_even_for_any_weights(spark, low):
+    u = mixture.uniform(F.col("id"), F.lit("t"), 20)
+    weight = F.when(F.col("id") % 3 == 0, low).otherwise(0.95)
+    rows = spark.range(60_000).select((-F.log(u) / weight).alias("key"))
+    binned = rows.withColumn("bin", mixture.bin_of(F.col("key"), 60_000, 500))
+    assert binned.groupBy("bin").count().agg(F.max("count")).first()[0] < 1.3 * 500
+    spans = binned.groupBy("bin").agg(F.min("key").alias("a"), F.max("key").alias("b")).orderBy("bin").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+
+
 def test_heavier_documents_are_taken_first(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), F.when(F.col("id") % 2 == 0, 5.0).otherwise(1.0).alias("q"))
     got = mixture.mix(df, quality=F.col("q")).where("doc_id < 2000 and taken > 0").groupBy((F.col("doc_id") % 2).alias("odd")).count().collect()
