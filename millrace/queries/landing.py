@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace import diagnostics
@@ -532,3 +534,82 @@ def archive(spark, orders):
     live.delete_where("o_orderstatus = 'F'")
     mark = lambda t, flag: t.read().select("o_orderkey", F.lit(flag).alias("archived"))
     return mark(live, False).unionByName(mark(kept, True))
+
+
+@Q("JON-24", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def co_located(spark, orders, lineitem):
+    """Both sides bucketed alike on the key: the join itself moves nothing."""
+    a, b = (f"{n}_{uuid.uuid4().hex}" for n in ("orders", "lines"))
+    sinks.bucketed(orders.select("o_orderkey", "o_orderstatus"), a, 8, "o_orderkey", _scratch(spark))
+    sinks.bucketed(lineitem.select("l_orderkey", "l_linenumber"), b, 8, "l_orderkey", _scratch(spark))
+    joined = spark.table(a).hint("merge").join(spark.table(b), F.col("o_orderkey") == F.col("l_orderkey"))
+    assert diagnostics.count_exchanges(joined) == 0
+    return joined.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@Q("LAK-04", "SELECT c_custkey, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def clustered(spark, orders, customer):
+    """A table bucketed on its key is aggregated without a shuffle, then meets another."""
+    name = f"orders_{uuid.uuid4().hex}"
+    sinks.bucketed(orders.select("o_custkey", "o_orderkey"), name, 8, "o_custkey", _scratch(spark))
+    each = spark.table(name).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    assert diagnostics.count_exchanges(each) == 0
+    return each.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "n")
+
+
+@Q("STM-15", "SELECT true AS same_version, CAST(count(*) AS BIGINT) AS views FROM events")
+def restarted(spark, events):
+    """A restart with nothing new commits no version."""
+    path, t, ck, seen = _click_files(spark, events), _table(spark), _scratch(spark), []
+    for _ in range(2):
+        counts = clicks.windowed_counts(clicks.parse(clicks.replay_source(spark, path, 100)), watermark="3650 days")
+        clicks.run_available(counts, clicks.LedgerSink(t, ["window_start", "page"], "counts"), ck)
+        seen.append(t.versions()[-1])
+    return t.read().agg(F.lit(seen[0] == seen[1]).alias("same_version"), F.sum("views").alias("views"))
+
+
+@Q("STM-12", "SELECT event_id AS pos FROM events")
+def in_steps(spark, events):
+    """``availableNow`` takes what is there in as many batches as the source's limit asks for."""
+    t = _table(spark)
+    query = clicks.run_available(clicks.replay_source(spark, _click_files(spark, events), 1).select(F.col("offset").alias("pos")), clicks.LedgerSink(t, ["pos"], "log", combine=lambda old, new: new if old is None else old.unionByName(new)), _scratch(spark), mode="append")
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) > 1
+    return t.read()
+
+
+@Q("UDF-08", "SELECT event_type, exp(avg(ln(1 + value))) - 1 AS geometric FROM events WHERE value IS NOT NULL GROUP BY 1")
+def custom_aggregate(events):
+    """An aggregate that Spark lacks, as expressions: partial sums before the shuffle, no Python."""
+    return events.where("value IS NOT NULL").groupBy("event_type").agg((F.exp(F.avg(F.log1p("value"))) - 1).alias("geometric"))
+
+
+@Q("API-01", "SELECT kind, CAST((SELECT count(*) FROM orders) AS BIGINT) AS n FROM (VALUES ('csv'), ('json'), ('parquet'), ('orc')) t(kind)")
+def readers(spark, orders):
+    out = None
+    for kind in ("csv", "json", "parquet", "orc"):
+        path = _scratch(spark)
+        orders.select("o_orderkey", "o_orderstatus").write.format(kind).save(path)
+        n = spark.read.format(kind).schema("o_orderkey bigint, o_orderstatus string").load(path).agg(F.lit(kind).alias("kind"), F.count("o_orderkey").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@Q("API-12", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45")
+def arrow_files(spark, lineitem):
+    """zstd files, read with a filter and two columns, both of which reach the scan."""
+    path = _scratch(spark)
+    lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").write.option("compression", "zstd").parquet(path)
+    out = spark.read.parquet(path).where("l_quantity > 45").select("l_orderkey", "l_linenumber")
+    assert diagnostics.plan_lines(out, r"PushedFilters.*GreaterThan\(l_quantity")
+    return out
+
+
+Q("API-18", "SELECT CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS total FROM lineitem WHERE l_discount > 0.05")(
+    lambda lineitem: lineitem.where("l_discount > 0.05").agg(F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(22,2)").alias("total"))
+)
+
+
+@Q("API-23", "SELECT CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS missing, CAST(count(*) - count(DISTINCT event_id) AS BIGINT) AS repeated, CAST(count(*) FILTER (WHERE value < 1) AS BIGINT) AS small FROM events")
+def required_unique_min(events):
+    checks = [contracts.Check("m", "not_null", column="value"), contracts.Check("s", "range", column="value", options={"min": 1})]
+    return events.agg(F.count_if(engine.violates(checks[0])).alias("missing"), (F.count("*") - F.countDistinct("event_id")).alias("repeated"), F.count_if(engine.violates(checks[1])).alias("small"))

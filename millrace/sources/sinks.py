@@ -41,9 +41,10 @@ def json_by_day(df: DataFrame, path: str, day: str, tag: str) -> None:
     df.withColumn("dt", F.col(day)).write.mode("overwrite").partitionBy("dt").json(f"{path}/source={tag}")
 
 
-def bucketed(df: DataFrame, table: str, buckets: int, key: str) -> None:
-    """A table whose joins and aggregations on the key need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def bucketed(df: DataFrame, table: str, buckets: int, key: str, path: str | None = None) -> None:
+    """A table whose joins and aggregations on the key need no shuffle; its files lie at ``path``, or in the warehouse."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def materialised_view(spark: SparkSession, query: str, path: str) -> DataFrame:
