@@ -130,3 +130,9 @@ def test_plans(spark, data):
     assert diagnostics.plan_lines(joined, "BroadcastHashJoin") and diagnostics.count_exchanges(joined) == 1
     assert diagnostics.profile(o).first()["nulls"] == 0
     assert diagnostics.timed(lambda: o, 1) > 0
+
+
+def test_stage_stats(spark):
+    spark.range(1000).repartition(3).count()
+    stages = diagnostics.stage_stats(spark)
+    assert stages and max(s["tasks"] for s in stages) > 0 and any(s["shuffle_write"] > 0 for s in stages)
