@@ -301,7 +301,7 @@ Q("ML-07", "SELECT count(*)::BIGINT AS rows, count(*) FILTER (WHERE text IS NULL
 _VEC = "SELECT q.vec_id AS query, v.vec_id AS id, {} AS {} FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings v WHERE q.vec_id <> v.vec_id"
 Q("VEC-01", "SELECT query, id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM (" + _VEC.format("round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6)", "similarity") + ") s) t WHERE rank <= 10")(lambda embeddings: vectors.top_k(embeddings, embeddings.where("vec_id % 100 = 0"), 10))
 Q("VEC-01b", "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")(lambda embeddings: embeddings.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm")))
-Q("VEC-02")(lambda embeddings: vectors.ivf_search(embeddings, embeddings.where("vec_id % 100 = 0"), 10))
+Q("VEC-02")(lambda embeddings: vectors.ivf_search(embeddings, embeddings.where("vec_id % 100 = 0"), 10, cells=16, probes=14))
 
 
 def _edges(supplier):

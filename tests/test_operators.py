@@ -3,7 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import diagnostics
+from millrace import catalog, diagnostics
 from millrace.functions import scalars as S
 from millrace.functions import vectors
 from millrace.operators import dedupe, history, joins, series
@@ -122,6 +122,16 @@ def test_ivf_recall(spark, data):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_ivf_recall(spark, sf):
+    """The registered query itself, at every table size."""
+    folder = f"/root/testdata/{sf}"
+    v = spark.read.parquet(f"{folder}/embeddings.parquet")
+    exact = {(r["query"], r["id"]) for r in vectors.top_k(v, v.where("vec_id % 100 = 0"), 10).collect()}
+    found = {(r["query"], r["id"]) for r in catalog.QUERIES["VEC-02"](spark, folder).collect()}
+    assert len(exact & found) / len(exact) >= 0.95
+
+
 def test_plans(spark, data):
     o = spark.read.parquet(f"{data}/orders.parquet").where("o_orderkey > 5").select("o_orderkey")
     text = diagnostics.plan_text(o)
