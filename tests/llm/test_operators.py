@@ -84,6 +84,28 @@ def test_compression_bands():
     assert not quality_rules.in_band(len(same) / len(packer.compress(same)), len(same))
 
 
+def noise_words(n, seed=4):
+    s = base64.b64encode(np.random.default_rng(seed).bytes(n)).decode()
+    return " ".join(s[i : i + 23] for i in range(0, n, 23))[:n].encode()
+
+
+@pytest.mark.parametrize("n", [250, 300, 500, 700, 1500, 3000, 6000, 40_000])
+def test_bands_alone_reject_noise_of_any_length(n):
+    import zstandard
+
+    raw = noise_words(n)
+    m = quality_rules.measure(raw, zstandard.ZstdCompressor(level=3))
+    assert m[0] >= 10 and m[4] == 0 and not quality_rules.in_band(m[5], n)  # the base rule passes it
+
+
+def test_bands_alone_reject_strewn_symbols_and_keep_clean_texts(spark, docs, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    got = quality_rules.report(docs).join(labels.select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
+    assert all(r["kept"] for r in got if r["quality"] == 1)
+    junk = [r for r in got if r["quality"] == 0]
+    assert sum(not r["kept"] for r in junk) >= len(junk) / 3 > 0
+
+
 # ---- classifier ------------------------------------------------------------------------------
 def test_classifier_on_held_out_rows(spark, docs, edge):
     labels = spark.createDataFrame([(r[0], int(r[1])) for r in docs.select("doc_id", (F.length(F.regexp_replace("text", "[^*#$%&]", "")) < 5).alias("y")).collect()], "doc_id long, quality int")
