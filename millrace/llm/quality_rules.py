@@ -1,6 +1,6 @@
 """Quality rules by compression bands.
 
-Every whole text is compressed with zstandard, once as a whole and once in chunks of a fixed size. A
+Every whole text is compressed with zstandard, once as a whole and once in chunks that cover it. A
 text that shrinks too much is repetitive, one that hardly shrinks is noise; what is too much depends
 on the length, because a compressor finds more repeats in more text. Base statistics (words, symbols,
 repeated lines, repeated five-word windows) come from the same pass, so the text is read once and
@@ -50,8 +50,9 @@ CLEAN = (
 )
 #: Margins on what was measured: below, where noise is far off, 8 %; above, where strewn symbols and tables begin, 3 %.
 BELOW, ABOVE = 0.92, 1.03
-CHUNK_BYTES = 4096
-#: A text goes when more than this share of its full chunks is outside the limits of a document of their size.
+#: Chunks get smaller with the text: from so many bytes on, chunks of so many bytes. A shorter text is one chunk.
+CHUNK_BYTES = ((512, 256), (1024, 512), (8192, 1024), (32768, 4096))
+#: A text goes when more than this share of its chunks is outside the limits of a document of their size.
 CHUNK_SHARE = 0.25
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, n_chunks long, n_bad_chunks long"
@@ -86,16 +87,21 @@ def measure(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple:
     words = raw.split()
     lines = [line for line in raw.split(b"\n") if line.strip()]
     ratio = len(raw) / len(packer.compress(raw)) if raw else 0.0
-    chunks = bad = 0
-    for at in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES):
-        chunks += 1
-        bad += not in_band(CHUNK_BYTES / len(packer.compress(raw[at : at + CHUNK_BYTES])), CHUNK_BYTES)
+    starts, size = chunks_of(len(raw))
+    bad = sum(not in_band(size / len(packer.compress(raw[at : at + size])), size) for at in starts)
     return (
         len(words), len(raw.translate(None, _SPACE + _NOT_STARTS)), len(raw) - len(raw.translate(None, SYMBOLS)),
-        len(lines) - len(set(lines)), repeat_words(words), ratio, chunks, bad, len(raw),
+        len(lines) - len(set(lines)), repeat_words(words), ratio, len(starts), bad, len(raw),
     )
 
 
+def chunks_of(n_bytes: int) -> tuple[list[int], int]:
+    """Where the chunks start, and their size. The last is aligned to the end of the text, so every byte is in some chunk."""
+    size = next((c for least, c in reversed(CHUNK_BYTES) if n_bytes >= least), n_bytes)
+    starts = list(range(0, n_bytes - size + 1, size)) if n_bytes else []
+    return starts + [n_bytes - size] * bool(starts and n_bytes % size), size
+
+
 @lru_cache(maxsize=1 << 16)
 def limits(n_bytes: int) -> tuple[float, float]:
     """The least and the greatest ratio allowed at a length."""

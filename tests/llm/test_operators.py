@@ -106,6 +106,22 @@ def test_bands_alone_reject_strewn_symbols_and_keep_clean_texts(spark, docs, dat
     assert sum(not r["kept"] for r in junk) >= len(junk) / 3 > 0
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 511, 512, 1000, 1025, 4095, 8191, 8193, 40_001])
+def test_every_byte_is_in_a_chunk(n):
+    starts, size = quality_rules.chunks_of(n)
+    assert set().union(*(range(a, a + size) for a in starts)) == set(range(n)) and quality_rules.chunks_of(0)[0] == []
+
+
+def test_noise_after_clean_text_is_found(docs):
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    clean = next(t for t in (r["text"].encode() for r in docs.where("length(text) > 4200").orderBy("doc_id").collect()) if not (m := quality_rules.measure(t, packer))[7] and not m[4])
+    for n_clean, n_noise in ((4096, 4095), (1500, 1500), (600, 500), (4096, 3000)):
+        m = quality_rules.measure(clean[:n_clean] + noise_words(n_noise), packer)
+        assert m[7] > quality_rules.CHUNK_SHARE * m[6]
+
+
 # ---- classifier ------------------------------------------------------------------------------
 def test_classifier_on_held_out_rows(spark, docs, edge):
     labels = spark.createDataFrame([(r[0], int(r[1])) for r in docs.select("doc_id", (F.length(F.regexp_replace("text", "[^*#$%&]", "")) < 5).alias("y")).collect()], "doc_id long, quality int")
