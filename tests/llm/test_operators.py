@@ -319,6 +319,14 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(set(got)) == len(names) and not set(got) & {f"{c}@q.org" for c in names}
 
 
+def test_every_form_of_address_is_found(spark):
+    forms = pii._FEMALE + pii._MALE + pii._NEUTRAL
+    rows = [(i, f"heute kam {a}{dot} Weber an") for i, (a, dot) in enumerate((a, dot) for a in forms for dot in ("", "."))]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["kinds"] == ["person"] and "Weber" not in r["text"] for r in got)
+    assert len({r["text"].split()[3] for r in got}) == 1
+
+
 # ---- licenses --------------------------------------------------------------------------------
 def test_licenses_by_canonical_form(spark, edge):
     mit = licenses.KNOWN["MIT"]
