@@ -6,11 +6,13 @@ surrogate drawn from a keyed digest of its normal form, so one entity has one su
 however it is written (coreference). Surrogates keep type and format: digits stay digits, letters stay
 letters of their case and script, separators stay; card numbers that pass the Luhn test still pass it;
 octets stay octets; given names follow the gender of the form of address, and names keep their script.
+A form that tells no gender takes the one that most documents give the name, male if they are as many.
 
 Distinctness is checked, not hoped for: the different entities of the corpus are brought together
 with their surrogates, and those that share one, or whose surrogate is some entity's real value, draw
-again until none is left. Draws after the first reach the few documents concerned by a join; the rest
-is replaced where it stands, without a shuffle of texts.
+again until none is left; given names and surnames are one kind in this, whatever their case. Draws
+after the first reach the few documents concerned by a join; the rest is replaced where it stands,
+without a shuffle of texts.
 
 Everything is DataFrame expressions. Defined results: null texts stay null with no entities; empty texts
 stay empty; null or repeated ids are fine, rows are told apart by id and text; overlapping matches are
@@ -170,22 +172,40 @@ def _overlay(entity: Column, drawn: Column) -> Column:
     return _chars(F.length(entity), one)
 
 
+def _drawn_as(part: Column) -> Column:
+    """The part whose surrogate a part gets if the corpus says nothing else: names without a gender go as male."""
+    return F.regexp_replace(part, "^given_n:", "given_m:")
+
+
 def replaced(entity: Column, draws: Column, key: str) -> Column:
-    """An entity's surrogate in its own format. ``draws``: a map of parts to the draws that were needed, or null."""
-    drawn = F.transform(parts(entity), lambda p: surrogate(p, F.coalesce(F.element_at(draws, p), F.lit(0)), key))
+    """An entity's surrogate in its own format. ``draws``: a map of parts to ``drawn_as, draw`` where these aren't the usual ones, or null."""
+    drawn = F.transform(parts(entity), lambda p: _let(F.element_at(draws, p), lambda x: surrogate(F.coalesce(x["drawn_as"], _drawn_as(p)), F.coalesce(x["draw"], F.lit(0)), key)))
     address = F.regexp_extract(entity, "^" + _ADDRESS, 0)
     first = F.element_at(drawn, 1)
     return F.when(_is(entity, "person"), F.concat(address, F.array_join(drawn, " "))).when(_is(entity, "email") | _is(entity, "ip") | _is(entity, "secret"), first).otherwise(_let(first, lambda x: _overlay(entity, x)))
 
 
+def _compared(part: Column) -> Column:
+    """A part in the form in which parts and surrogates are told apart: all names are one kind, in lower case."""
+    return F.when(F.regexp_like(part, F.lit("^(?:given_.|surname):")), F.concat(F.lit("name:"), F.lower(F.substring_index(part, ":", -1)))).otherwise(part)
+
+
+def parts_drawn_as(seen: DataFrame) -> DataFrame:
+    """``part, drawn_as`` for the different parts of ``seen``: given names after a form without a gender get the one that most documents tell."""
+    name = F.substring_index("part", ":", -1)
+    told = seen.where(F.col("part").startswith("given_")).groupBy(name.alias("name")).agg(*[F.count_if(F.col("part").startswith(f"given_{g}:")).alias(g) for g in "fmn"])
+    women = told.where("f > m and n > 0").select(F.concat(F.lit("given_n:"), "name").alias("part"), F.concat(F.lit("given_f:"), "name").alias("woman"))
+    return seen.select("part").distinct().join(women, "part", "left").select("part", F.coalesce("woman", _drawn_as(F.col("part"))).alias("drawn_as"))
+
+
 def draws_needed(occurrences: DataFrame, key: str) -> DataFrame:
     """``part, draw`` for parts whose first surrogate was someone else's too. ``occurrences``: column ``part``."""
     table = materialised(occurrences.select("part").distinct().withColumn("draw", F.lit(0)), "parts")
     for _ in range(MOST_DRAWS):
-        kind = F.substring_index("part", ":", 1)
-        drawn = materialised(table.select("part", "draw", F.concat(kind, F.lit(":"), surrogate(F.col("part"), F.col("draw"), key)).alias("made")), "drawn")
+        made = F.concat(F.substring_index("part", ":", 1), F.lit(":"), surrogate(F.col("part"), F.col("draw"), key))
+        drawn = materialised(table.select("part", "draw", _compared(made).alias("made")), "drawn")
         owner = drawn.groupBy("made").agg(F.min("part").alias("owner"), F.count("*").alias("n"))
-        real = drawn.select(F.col("part").alias("made")).withColumn("real", F.lit(True))
+        real = drawn.select(_compared(F.col("part")).alias("made")).distinct().withColumn("real", F.lit(True))
         clash = owner.join(real, "made", "left").where("n > 1 or real").select("made", "owner", "real")
         again = drawn.join(clash, "made").where(F.col("real") | (F.col("part") != F.col("owner"))).select("part", F.lit(True).alias("again"))
         again = materialised(again, "again")
@@ -201,9 +221,12 @@ def replace(docs: DataFrame, id: str = "doc_id", text: str = "text", key: str =
     rows = rows.withColumn("entities", F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
     seen = rows.where(F.size("entities") > 0).select("id", "version", F.explode(F.array_distinct(F.flatten(F.transform("entities", parts)))).alias("part"))
     seen = materialised(seen, "entities")
-    needed = draws_needed(seen, key)
+    known = materialised(parts_drawn_as(seen), "drawn_as")
+    again = draws_needed(known.select(F.col("drawn_as").alias("part")), key).withColumnRenamed("part", "drawn_as")
+    needed = known.join(again, "drawn_as", "left").where(F.col("draw").isNotNull() | (F.col("drawn_as") != _drawn_as(F.col("part"))))
+    needed = materialised(needed.select("part", F.struct("drawn_as", F.coalesce("draw", F.lit(0)).alias("draw")).alias("draw")), "needed")
     if needed.isEmpty():
-        rows = rows.withColumn("draws", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn("draws", F.lit(None).cast("map<string,struct<drawn_as:string,draw:int>>"))
     else:
         hits = seen.distinct().join(needed, "part").groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(F.map_from_entries(F.collect_list(F.struct("part", "draw"))).alias("draws"))
         rows = rows.join(hits, rows.id.eqNullSafe(hits["__id"]) & (rows.version == hits["__version"]), "left")

@@ -327,6 +327,17 @@ def test_every_form_of_address_is_found(spark):
     assert len({r["text"].split()[3] for r in got}) == 1
 
 
+def test_names_agree_over_forms_of_address_and_are_nobodys_real_name(spark):
+    taken = spark.range(1).select(pii.surrogate(F.lit("surname:smith"), F.lit(0), "millrace")).first()[0]  # somebody's real given name
+    rows = [(1, "Mr John Smith met Dr John Smith and Prof. John Smith"), (2, "Mrs Anna Weber, Dr Anna Weber, Herr Weber"), (3, f"Mrs {taken} Jones")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(re.fullmatch(r"Mr (\w+ \w+) met Dr (\w+ \w+) and Prof\. (\w+ \w+)", got[1]).groups())) == 1
+    m = re.fullmatch(r"Mrs (\w+) (\w+), Dr (\w+) (\w+), Herr (\w+)", got[2])
+    assert m[1] == m[3] and m[1].endswith("a") and m[2] == m[4] == m[5]
+    made = set(re.findall(r"[A-Z]\w+", " ".join(got.values()))) - {"Mr", "Dr", "Prof", "Mrs", "Herr"}
+    assert len(made) == 6 and not made & {"John", "Smith", "Anna", "Weber", "Jones", taken}
+
+
 # ---- licenses --------------------------------------------------------------------------------
 def test_licenses_by_canonical_form(spark, edge):
     mit = licenses.KNOWN["MIT"]
