@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
 
 
+def row_key(id: Column, text: Column) -> Column:
+    """What tells rows apart where ids are null or repeat: a digest of id and text."""
+    name = F.coalesce(F.concat(F.lit("="), id.cast("string")), F.lit(""))
+    return F.unhex(F.sha2(F.concat(F.sha2(F.coalesce(text, F.lit("")), 256), name), 256))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

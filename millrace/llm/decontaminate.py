@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialised
+from millrace.llm.common import materialised, row_key
 
 #: Edits allowed for each character of a normalised item.
 ERROR_RATE = 0.05
@@ -178,9 +178,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no item is found. Those with a null id are judged by their text as well."""
-    found = materialised(matches(docs, benchmark, id, text).select(F.col(id).alias("__id")).distinct(), "leaks")
-    return docs.join(found, docs[id].eqNullSafe(F.col("__id")), "left_anti")
+    """The documents in which no item is found. Each row is judged by its own text, also where ids are null or repeat."""
+    keyed = docs.withColumn("__row", row_key(F.col(id), F.col(text)))
+    found = materialised(matches(keyed, benchmark, "__row", text).select("__row").distinct(), "leaks")
+    return keyed.join(found, "__row", "left_anti").select(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD
+from millrace.llm.common import WORD, materialised, row_key
 
 CAP = 3
 BIN_ROWS = 5_000
@@ -69,11 +69,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, seed: int = 20, bin_rows: int = BIN_ROWS) -> DataFrame:
     """``id, size, source_size, target, taken`` and the key, for each row. ``quality``: a positive weight, by default :func:`quality_weight`."""
-    from millrace.llm.common import materialised
+    return _mix(docs, id, text, source, quality, seed, bin_rows, F.lit(None).cast("binary")).drop("row")
 
+
+def _mix(docs: DataFrame, id: str, text: str, source: str, quality: Column | None, seed: int, bin_rows: int, row: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     weight = quality_weight(F.col(text)) if quality is None else quality
-    rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size.alias("size"), (-F.log(uniform(F.col(id), F.coalesce(F.col(text), F.lit("")), seed)) / F.coalesce(weight, F.lit(1.0))).alias("key"))
+    rows = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size.alias("size"), (-F.log(uniform(F.col(id), F.coalesce(F.col(text), F.lit("")), seed)) / F.coalesce(weight, F.lit(1.0))).alias("key"), row.alias("row"))
     rows = materialised(rows, "mix")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     most = by_source.agg(F.max("n")).first()[0] or 0
@@ -85,11 +87,11 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     # a bin that ends before the rest is spent goes whole, one that starts after it stays out
-    return _take(rows, plan).select(F.col("id").alias(id), "size", "source_size", "target", "taken", "key")
+    return _take(rows, plan).select(F.col("id").alias(id), "size", "source_size", "target", "taken", "key", "row")
 
 
 def _take(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bin") == F.col("p.bin"))).select("r.id", "r.source", "r.bin", "r.size", "r.key", "start", "s", "source_size", "target", "epochs", "rest")
+    joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bin") == F.col("p.bin"))).select("r.id", "r.source", "r.bin", "r.size", "r.key", "r.row", "start", "s", "source_size", "target", "epochs", "rest")
     order = Window.partitionBy("source", "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     done = joined.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     # the document at the edge is taken if that ends nearer to the target
@@ -99,9 +101,20 @@ def _take(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken. An empty document that falls in an epoch is not repeated."""
-    taken = mix(docs, id, text, source).where("taken > 0").select(F.col(id).alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__n")).groupBy("__id").agg(F.max("__n").alias("__n"))
-    joined = docs.join(taken, docs[id].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    row = F.unhex(F.sha2(F.concat(F.hex(row_key(F.col(id), F.col(text))), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))), 256))
+    times = F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")
+    drawn = _mix(docs, id, text, source, None, 20, BIN_ROWS, row).select(F.col("row").alias("__row"), times.alias("n"))
+    # rows equal in id, text and source are drawn as often, or some of them once more where the rest is spent
+    taken = drawn.groupBy("__row").agg(F.min("n").alias("__n"), F.max("n").alias("__most"), F.count("*").alias("__rows"), F.sum("n").alias("__sum")).where("__most > 0")
+    taken = materialised(taken, "taken")
+    keyed = docs.withColumn("__row", row)
+    even, edge = taken.where("__n = __most"), taken.where("__n < __most")
+    joined = keyed.join(even, "__row").select(*docs.columns, "__n")
+    if not edge.isEmpty():  # one group a source at most
+        place = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
+        some = keyed.join(F.broadcast(edge), "__row").withColumn("__place", place)
+        joined = joined.unionByName(some.select(*docs.columns, F.when(F.col("__place") <= F.col("__sum") - F.col("__n") * F.col("__rows"), F.col("__most")).otherwise(F.col("__n")).alias("__n")).where("__n > 0"))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

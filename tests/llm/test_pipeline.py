@@ -5,6 +5,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.llm import decontaminate, mixture
@@ -52,3 +53,22 @@ def test_stages(spark, data):
         ids = np.array([*plain.encode(mixed[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
         assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+
+
+def test_rows_without_an_id_of_their_own_are_judged_one_by_one(spark):
+    item = "which of these rivers runs through the old town and past the mill"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"so {item} then"), (None, "clean one"), (None, "clean two"), (7, f"so {item} then"), (7, "clean three"), (8, None)]
+    left = decontaminate.keep(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["text"] or "") for r in left) == ["", "clean one", "clean three", "clean two"]
+
+
+def test_mix_meets_its_targets_without_ids(spark):
+    rows = [(None if i % 2 else i % 10, f"text number {i} of {i % 3 * 'many '}words", "a" if i % 4 else "b") for i in range(300)] + [(None, "the same text again", "c")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source_size"]: (r["target"], r["n"]) for r in mixture.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect()}
+    sizes = {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(F.size(F.split("text", " +"))).alias("n")).collect()}
+    got = {r["source"]: r["n"] for r in mixture.sample(df).groupBy("source").agg(F.sum(F.size(F.split("text", " +"))).alias("n")).collect()}
+    for s, n in sizes.items():
+        target, drawn = want[n]
+        assert got[s] == drawn and abs(drawn - target) <= 10
