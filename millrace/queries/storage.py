@@ -64,8 +64,7 @@ def lines(spark, events):
 @Q("SRC-08", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-01-20'")
 def hive_range(spark, orders):
     path = _scratch(spark)
-    near = orders.where("o_orderdate >= timestamp_ntz'1995-12-20 00:00:00' and o_orderdate < timestamp_ntz'1996-02-01 00:00:00'")
-    sinks.by_partition(near.select("o_orderkey", F.to_date("o_orderdate").alias("d")), path, ["d"])
+    sinks.by_partition(orders.select("o_orderkey", F.to_date("o_orderdate").alias("d")), path, ["d"])
     return files.between_days(spark, path, "d", "1996-01-01", "1996-01-20")
 
 

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import catalog
 from millrace.lake import LakeTable
 from millrace.plans.lakehouse import Lakehouse, days_between, silver_from_bronze, store_bronze
 from millrace.sources import files, generators, rest
@@ -185,3 +186,11 @@ def test_running_counts(spark, tmp_path):
     finally:
         q.stop()
     assert out == {"a": 2, "b": 1}
+
+
+def test_day_range_is_read_from_a_whole_table(spark, data):
+    """The registered query writes every day before it prunes."""
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    files_read = catalog.QUERIES["SRC-08"](spark, data).inputFiles()
+    root = files_read[0].rsplit("/d=", 1)[0]
+    assert spark.read.parquet(root).count() == orders.count()
