@@ -7,15 +7,18 @@ stripes and row groups by the id's statistics. ``shard`` and ``pos`` hold the pl
 the whole order, so the running start of its ids is a sum over shards and a sum within one.
 
 Encoding goes through the tokenizers library. Where the tokenizer's own configuration shows that no
-token spans white space (checked against the file, not assumed), words are encoded once and kept in a
-bounded cache; any other tokenizer encodes whole texts.
+token spans white space (checked against the file, not assumed), the different words of a few megabytes
+of texts are encoded once, through a bounded cache, and their ids laid out by place with array
+operations; any other tokenizer encodes whole texts.
 
 Defined results: a null text is empty and encodes to the end id alone; a null id sorts first; rows
-that repeat an id follow each other in the order of their text; an empty table writes no rows.
+that repeat an id follow each other in the order of their text; a very long text is encoded whole, in a
+batch of its own; other columns are not read; an empty table writes no rows.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +37,10 @@ from millrace.llm.common import scratch_path
 END_ID = 2
 STRIDE = 1000
 STRIPE_BYTES = 16 << 20
+#: What a cache holds at most, in an old and a new generation of half as many each.
 CACHE_WORDS = 700_000
+#: Texts are encoded together until they have so many bytes.
+TOGETHER = 8 << 20
 
 _SEPARABLE = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -41,61 +48,140 @@ _SEPARABLE = (
         {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 )
-#: Words of these characters are already normal (NFC) and lower-case one by one; the rest goes through the library whole.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Most words: letters that are already normal (NFC) and lower-case one by one, perhaps with a mark after them. The letters
+#: are one piece, and so is the mark; other words go through the library whole.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([][.,;:!?)(*#$%&|\"]?)")
 
 
 def _as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Recent:
+    """A cache in two generations: when the new one is full it becomes the old one, and what was the old one goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def find(self, keys: list) -> list:
+        """The values, None where a key is not known."""
+        new, old = self.new.get, self.old.get
+        return [new(k) or old(k) for k in keys]
+
+    def put(self, pairs: dict) -> None:
+        if len(self.new) + len(pairs) > self.most:
+            self.old, self.new = self.new, {}
+        self.new.update(pairs if len(pairs) <= self.most else {})
+
+
 class Encoder:
-    """Texts, as UTF-8 bytes, to the bytes of their ids (little-endian, unsigned, 32 bits each)."""
+    """Texts to ids (little-endian, unsigned, 32 bits each)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         config = json.loads(self.tokenizer.to_str())
         marks = [t["content"] for t in config["added_tokens"]]
+        special = [t for t in config["added_tokens"] if t["special"]]
+        self.mark = (special[0]["content"], special[0]["id"]) if special else None
         self.separable = (config["normalizer"], config["pre_tokenizer"]) == _SEPARABLE and all(m.startswith("<|") and not re.search(r"\s", m) for m in marks)
-        self.to_units = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            units = piece if piece.isascii() else self.to_units(piece)[0][0]  # printable ASCII stands for itself
-            found = _as_bytes([t.id for t in self.model.tokenize(units)])
-            if len(self.pieces) >= CACHE_WORDS // 2:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = found
-        return found
+        suffix = config["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
     def whole(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, raw: bytes) -> bytes:
-        word = raw.decode()
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            found = b"".join(map(self._piece, _PIECES.findall(word.lower())))
-        else:
-            found = self.whole(word)
-        if len(raw) <= 64:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[raw] = found
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of words of plain letters; those not known go through the library together, and come apart where a piece ends."""
+        found = dict(zip(pieces, self.pieces.find(pieces), strict=True))
+        unknown = [p for p, ids in found.items() if ids is None]
+        for at in range(0, len(unknown), 50_000):
+            some = unknown[at : at + 50_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                new = {p: raw[a:b] for p, a, b in zip(some, [0, *ends], ends, strict=False)}
+            else:
+                new = {p: self.whole(p) for p in some}
+            found |= new
+            self.pieces.put({p: ids for p, ids in new.items() if len(p) <= 64})
+        return found
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        bare, marked, rest = {}, {}, []
+        for raw in words:
+            if raw.isalpha():  # ASCII letters only
+                bare[raw] = raw.lower().decode()
+            elif parts := _SIMPLE.fullmatch(raw.decode()):
+                letters, mark = parts.groups()
+                if mark:
+                    marked[raw] = letters.lower(), mark
+                else:
+                    bare[raw] = letters.lower()
+            else:
+                rest.append(raw)
+        pieces = self._pieces(list(dict.fromkeys([*bare.values(), *(p for p, _ in marked.values())])))
+        marks = {m: self.whole(m) for m in {m for _, m in marked.values()}}
+        found = {raw: pieces[p] for raw, p in bare.items()}
+        found.update((raw, pieces[p] + marks[m]) for raw, (p, m) in marked.items())
+        return found | self._odd(rest)
+
+    def _odd(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of any words, together: a special token stands between two words."""
+        plain = [raw for raw in words if b"<|" not in raw]
+        found = {raw: self.whole(raw.decode()) for raw in words if b"<|" in raw or self.mark is None}
+        for at in range(0, len(plain) if self.mark else 0, 50_000):
+            some = plain[at : at + 50_000]
+            text, id = self.mark
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {text} ".join([*(w.decode() for w in some), ""])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == id)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            assert len(ends) == len(some)
+            raw, a, b = ids.tobytes(), (4 * starts).tolist(), (4 * ends).tolist()
+            found.update((w, raw[i:j]) for w, i, j in zip(some, a, b, strict=True))
         return found
 
     def encode(self, raw: bytes) -> bytes:
+        return self.encode_all(pa.array([raw.decode()]), None)[1].tobytes()
+
+    def encode_all(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids start (and the end of all), and all ids; each text ends in ``end_id`` unless that is None."""
+        end = b"" if end_id is None else _as_bytes([end_id])
+        texts = texts.fill_null("")
         if not self.separable:
-            return self.whole(raw.decode())
-        known, word = self.words.get, self._word
-        return b"".join([known(w) or word(w) for w in raw.split()])
+            each = [self.whole(t) + end for t in texts.to_pylist()]
+            return np.cumsum([0, *(len(x) // 4 for x in each)]), np.frombuffer(b"".join(each), "<u4")
+        split = pc.ascii_split_whitespace(texts)
+        bounds = split.offsets.to_numpy()
+        places = split.flatten().dictionary_encode()
+        words = places.dictionary.cast(pa.binary()).to_pylist()
+        ids = self.words.find(words)
+        if unknown := [w for w, x in zip(words, ids, strict=True) if x is None]:
+            new = self._words(unknown)
+            ids = [x or new.get(w, b"") for w, x in zip(words, ids, strict=True)]
+            self.words.put({w: x for w, x in new.items() if len(w) <= 64})
+        ids.append(end)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        order = np.insert(places.indices.to_numpy(), bounds[1:] - bounds[0], len(ids) - 1)  # the end after each text's words
+        at = np.concatenate([[0], np.cumsum(size[order])])
+        first = np.concatenate([[0], np.cumsum(size)])[order]
+        place = np.arange(at[-1]) + np.repeat(first - at[:-1], size[order])
+        return at[bounds - bounds[0] + np.arange(len(bounds))], flat[place]
+
+
+def together(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``most_bytes`` together, one row at least."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -111,17 +197,15 @@ def _encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """``doc_id, shard, pos, tokens``, sorted by id within shards and from shard to shard."""
     kind = docs.schema[id].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the caches are large to walk
         encoder, shard, pos = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [encoder.encode(raw or b"") + end for raw in part.column(1).cast(pa.binary()).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                n = len(ids)
+            for part in together(batch, 1, TOGETHER):
+                offsets, ids = encoder.encode_all(part.column(1), end_id)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+                n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(pos, pos + n)), tokens], names=["doc_id", "shard", "pos", "tokens"])
                 pos += n
 
