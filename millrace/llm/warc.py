@@ -1,7 +1,8 @@
 """A deterministic, sharded WARC writer, and a reader.
 
 Records are dealt out by ranges of page id and sorted, so an archive's content depends on the pages
-alone. Each task rolls its files by compressed size; every record is a gzip member of its own, with
+alone: the number of shards comes from the sum of payload bytes, and the bounds between them from the
+sorted ids of a sample that digests choose, not a random seed. Each shard rolls its files by compressed size; every record is a gzip member of its own, with
 headers and digests made anew, dates and ids derived from content. A file is written under a
 temporary name that holds the task's attempt and renamed when it is whole; attempts of the same task
 write the same bytes, so a lost executor or a speculative copy changes nothing. The archive counts as
@@ -15,7 +16,8 @@ a payload is shuffled once and a very common one is not gathered anywhere.
 Defined results: a null html is an empty payload; a null url gets a ``urn:page:`` target; control
 characters in a url are percent-encoded; pages of a null id refer to the largest id of their
 payload, and are responses if there is none; rows that repeat id and payload are all responses if that
-id is the largest; payloads under ``min_bytes`` are all responses; an empty table writes no file.
+id is the largest; payloads under ``min_bytes`` are all responses; an empty table writes no file. A very
+long payload is one record, held whole while it is written and read; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
+import math
 import re
 import uuid
 import zlib
@@ -31,12 +35,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch_path
+from millrace.llm.common import materialised, scratch_path
 
 ROLL_BYTES = 64 << 20
+#: Payload bytes of a shard: the first number until there are ``MANY`` shards, then up to the second.
+SHARD_BYTES, MOST_SHARD_BYTES, MANY = 8 << 20, 8 << 30, 4096
+#: Ids in the sample for each shard.
+SAMPLED = 32
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "name string, records long, bytes long, sha1 string"
@@ -69,18 +77,21 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 class _Shards:
-    """The files of one task: whole ones are renamed into place."""
+    """The files of one task, shard by shard: whole ones are renamed into place."""
 
-    def __init__(self, uri: str, prefix: str, attempt: int, roll: int):
+    def __init__(self, uri: str, attempt: int, roll: int):
         self.fs, self.root = fs.FileSystem.from_uri(uri)
-        self.prefix, self.roll, self.n, self.out = prefix, roll, 0, None
-        self.tmp = f"{self.root}/_temporary-{prefix}-{attempt}"
+        self.shard, self.attempt, self.roll, self.n, self.out = None, attempt, roll, 0, None
         self.done: list[dict] = []
 
-    def add(self, record: bytes) -> None:
+    def add(self, shard: int, record: bytes) -> None:
+        if shard != self.shard:
+            self.close()
+            self.shard, self.n = shard, 0
         if self.out is None:
             self.fs.create_dir(self.root)
-            self.name = f"{self.prefix}-{self.n:05d}.warc.gz"
+            self.name = f"pages-{shard:05d}-{self.n:05d}.warc.gz"
+            self.tmp = f"{self.root}/_temporary-{self.name}-{self.attempt}"
             self.out = self.fs.open_output_stream(self.tmp, compression=None)
             self.bytes, self.records, self.sha = 0, 0, hashlib.sha1(usedforsecurity=False)
             self._put(_record("warcinfo", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, self.name)}>", {"WARC-Filename": self.name, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
@@ -102,7 +113,7 @@ class _Shards:
             self.out, self.n = None, self.n + 1
 
 
-def _payload(html: str) -> F.Column:
+def _payload(html: str) -> Column:
     return F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
 
 
@@ -113,32 +124,59 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return meta.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("last"))).select("page_id", "digest", "last").distinct()
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def bounds(meta: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[tuple[int | None, str]]:
+    """The first ``page_id, digest`` of each shard but the first, for pages (with ``digest``, ``n``). They depend on these rows alone, however they are dealt out."""
+    total, rows = meta.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shards = max(min(math.ceil(total / shard_bytes), MANY), math.ceil(total / MOST_SHARD_BYTES), 1)
+    share = min(1.0, SAMPLED * shards / max(rows, 1))
+    lot = F.pmod(F.xxhash64("digest", "page_id"), F.lit(1 << 30))
+    sample = meta.where(lot < F.lit(math.ceil(share * (1 << 30)))).select("page_id", "digest").distinct()
+    ids = sorted(map(tuple, sample.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])) if shards > 1 else []
+    return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}, key=ids.index) if ids else []
+
+
+def shard_of(page_id: Column, digest: Column, firsts: list[tuple[int | None, str]]) -> Column:
+    """How many of the bounds are not after a page: found among the first of each stretch, and then within one."""
+    if not firsts:
+        return F.lit(0)
+    step = math.isqrt(len(firsts)) + 1
+    stretches = [firsts[i : i + step] for i in range(0, len(firsts), step)]
+    kind = "array<array<struct<page_id:bigint,digest:string>>>"
+    table = F.from_json(F.lit(json.dumps([[{"page_id": p, "digest": d} for p, d in s] for s in stretches])), kind)
+    own = F.struct(page_id.alias("page_id"), digest.alias("digest"))
+    before = F.size(F.filter(table, lambda s: s[0] <= own))  # stretches that begin at the page or before it
+    within = F.size(F.filter(F.element_at(table, before), lambda b: b <= own))
+    return F.when(before == 0, 0).otherwise((before - 1) * step + within)
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write ``pages`` (``page_id, url, html``) as archives below ``path``; the manifest."""
     spark = pages.sparkSession
     payload = _payload("html")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
-    marks = revisits(own.select("page_id", "digest", "n"), min_bytes)
+    meta = materialised(own.select("page_id", "digest", "n"), "pages")
+    firsts = bounds(meta, shard_bytes)
+    marks = revisits(meta, min_bytes)
     rows = own.select("page_id", "digest", F.lit(True).alias("page"), "url", "payload", F.lit(None).cast("long").alias("last"))
     rows = rows.unionByName(marks.select("page_id", "digest", F.lit(False).alias("page"), "last"), allowMissingColumns=True)
+    rows = rows.select(shard_of(F.col("page_id"), F.col("digest"), firsts).alias("shard"), *rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        shards = _Shards(path, f"pages-{task.partitionId():05d}", task.taskAttemptId(), roll_bytes)
+        shards = _Shards(path, TaskContext.get().taskAttemptId(), roll_bytes)
         key, last = None, None
         for batch in batches:
-            for page_id, digest, page, url, raw, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, page_id, digest, page, url, raw, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (page_id, digest) != key:
                     key, last = (page_id, digest), None
                 if not page:
                     last = refers
                     continue
-                shards.add(page_record(page_id, url, raw, last))
+                shards.add(shard, page_record(page_id, url, raw, last))
         shards.close()
         if shards.done:
             yield pa.RecordBatch.from_pylist(shards.done)
 
-    ranged = rows.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "page", "url")
+    ranged = rows.repartitionById(len(firsts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "page", "url")
     ranged.mapInArrow(run, _MANIFEST).write.parquet(f"{path}/manifest")
     return manifest(spark, path)
 
