@@ -22,11 +22,24 @@ def row_key(id: Column, text: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.sha2(F.coalesce(text, F.lit("")), 256), name), 256))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ... by place: whatever they were called, no name clashes with a helper's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, column: str) -> str:
+    """The name that a column of ``df`` has in :func:`numbered`: an exact match first, else one in other case."""
+    names = df.columns
+    return f"c{names.index(column) if column in names else [n.lower() for n in names].index(column.lower())}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master (tests), and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, _OWN["dir"].removeprefix("file://"), ignore_errors=True)

@@ -6,30 +6,43 @@ these hits in one pass over each whole text, and Myers' bit-parallel algorithm v
 neighbourhood. Texts and items are normalised alike: lower case, every run of punctuation, white
 space and symbols one space; so a hit does not hang on layout.
 
-Scale: texts are never shuffled. Items come to the executors in blocks of ``BLOCK_BYTES``, whatever
-the benchmark's size: each block is one pass over the texts, and its broadcast is bounded by the
-block. Repeated neighbourhoods, as in passages that many documents share, are verified once per task.
+Scale: texts are never shuffled, and are read and normalised once, whatever the benchmark's size. Items
+are normalised by tasks and written to the shared folder, in blocks of about ``BLOCK_BYTES``; a task
+holds ``CHUNK_BYTES`` of normalised texts and lets block after block pass over them. Each worker keeps
+the automata of its last ``MOST_KEPT`` blocks, so a benchmark of that many blocks is loaded once for
+each worker. Repeated neighbourhoods, as in passages that many documents share, are verified once per
+block and worker. Neither items nor hits reach the driver.
 
 Defined results: null and empty texts match nothing; an item that is null or has no letter or digit
 matches nothing; items repeated under one or more ids match under each; a null id is an id like
-others; an empty table on either side gives an empty result.
+others; a very long text is searched whole, in a chunk of its own if need be; other columns, whatever
+their names, pass through :func:`keep` untouched; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import materialised, row_key
+from millrace.llm.common import materialised, numbered, place, row_key, scratch_path
 
 #: Edits allowed for each character of a normalised item.
 ERROR_RATE = 0.05
-BLOCK_BYTES = 4 << 20
+#: Normalised item bytes in a block; its automaton takes about 50 times as much memory.
+BLOCK_BYTES = 1 << 20
+#: Normalised text bytes that wait for the blocks to pass.
+CHUNK_BYTES = 32 << 20
+MOST_KEPT = 4
 _MEMO = 50_000
 
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -132,56 +145,78 @@ class Block:
         return found
 
 
-def blocks(benchmark: DataFrame, id: str, text: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """Normalised items, streamed from the table a partition at a time, in blocks of bounded size."""
-    held, size = [], 0
-    for key, raw in benchmark.select(id, text).toLocalIterator():
-        item = normalise(raw or "")
-        if item:
-            held.append((key, item))
-            size += len(item)
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def blocks(benchmark: DataFrame, id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
+    """Where the items lie, ``item, text`` in a folder for each block, and how many blocks there are."""
+    kind = benchmark.schema[id].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalise(raw or "") for raw in batch.column(1).to_pylist()], pa.string())], names=["item", "text"])
 
-def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    items = materialised(benchmark.select(F.col(id).alias("item"), F.col(text).alias("text")).mapInArrow(run, f"item {kind}, text string").where("text <> ''"), "items")
+    n = math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes)
+    path = scratch_path(benchmark.sparkSession, "blocks")
+    if n:
+        block = F.pmod(F.xxhash64("text"), F.lit(n))  # equal items are in one block
+        items.withColumn("block", block).repartition(min(n, 1000), "block").write.partitionBy("block").parquet(path)
+    return path, n
+
+
+_KEPT: OrderedDict[tuple, Block] = OrderedDict()
+
+
+def _block(path: str, n: int, rate: float) -> Block:
+    """Block ``n`` of a folder; one for each worker process, so that it lasts over tasks."""
+    key = path, n, rate
+    if key not in _KEPT:
+        while len(_KEPT) >= MOST_KEPT:
+            _KEPT.popitem(last=False)
+        store, root = fs.FileSystem.from_uri(path)
+        found = store.get_file_info(fs.FileSelector(f"{root}/block={n}", allow_not_found=True))
+        parts = [pq.read_table(f.path, filesystem=store, partitioning=None) for f in found if f.path.endswith(".parquet")]
+        _KEPT[key] = Block([row for t in parts for row in zip(t.column("item").to_pylist(), t.column("text").to_pylist(), strict=True)], rate)
+    _KEPT.move_to_end(key)
+    return _KEPT[key]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``id``, ``item_id``, ``distance``: one row for each document and item within budget."""
-    spark = docs.sparkSession
-    kind, item_kind = docs.schema[id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    schema = f"doc {kind}, item {item_kind}, distance int"
+    kind, item_kind = docs.schema[id].dataType, benchmark.schema[item_id].dataType
+    doc_type, item_type = to_arrow_type(kind), to_arrow_type(item_kind)
+    path, n_blocks = blocks(benchmark, item_id, item_text, block_bytes)
+
+    def search(held: list[tuple[object, str]]) -> Iterator[pa.RecordBatch]:
+        for n in range(n_blocks):
+            block = _block(path, n, rate)
+            found = [(id, block.items[k][0], d) for id, text in held for k, d in block.find(text).items()] if block.items else []
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (doc_type, item_type, pa.int32()), strict=True)], names=["doc", "item", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows if n_blocks else 0, 256):
+                for id, raw in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if raw:
+                        held.append((id, normalise(raw)))
+                        size += len(held[-1][1])
+                if size >= (chunk_bytes if n_blocks > 1 else 1):
+                    yield from search(held)
+                    held, size = [], 0
+        yield from search(held)
+
     chosen = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
-    out = spark.createDataFrame([], schema)
-    for items in blocks(benchmark, item_id, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value, rate)
-            for batch in batches:
-                ids, names, distances = [], [], []
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    for row, raw in enumerate(part.column(1).to_pylist()):
-                        for k, d in block.find(normalise(raw)).items() if raw else ():
-                            ids.append(at + row)
-                            names.append(block.items[k][0])
-                            distances.append(d)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(names, out_types[1]), pa.array(distances, pa.int32())], names=["doc", "item", "distance"])
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out_types = to_arrow_schema(out.schema).types
-        out = out.unionByName(chosen.mapInArrow(run, schema))
+    out = chosen.mapInArrow(run, f"doc {kind.simpleString()}, item {item_kind.simpleString()}, distance int")
     return out.select(F.col("doc").alias(id), F.col("item").alias(item_id), "distance")
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents in which no item is found. Each row is judged by its own text, also where ids are null or repeat."""
-    keyed = docs.withColumn("__row", row_key(F.col(id), F.col(text)))
-    found = materialised(matches(keyed, benchmark, "__row", text).select("__row").distinct(), "leaks")
-    return keyed.join(found, "__row", "left_anti").select(*docs.columns)
+    own = numbered(docs)
+    i, t = place(docs, id), place(docs, text)
+    keyed = own.withColumn("row", row_key(F.col(i), F.col(t)))
+    found = materialised(matches(keyed, benchmark, "row", t).select("row").distinct(), "leaks")
+    return keyed.join(found, "row", "left_anti").select(*own.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
