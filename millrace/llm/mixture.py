@@ -12,7 +12,10 @@ source and bin are sorted together. Targets come from one row per source.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; ids
 may be null or repeat: rows equal in id and text share a key and are taken in one go by their
-place in the sort; an empty table gives an empty one; if all sizes are 0, all targets are 0.
+place in the sort; an empty table gives an empty one; if all sizes are 0, all targets are 0. A document
+of size 0 takes no words and is drawn as often as any other at its place in the order, once in a source
+without any word. Of a very long text only counts are held. Other columns, whatever their names, pass
+through :func:`sample` untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, materialised, row_key
+from millrace.llm.common import WORD, materialised, numbered, place, row_key
 
 CAP = 3
 BIN_ROWS = 5_000
@@ -69,7 +72,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, seed: int = 20, bin_rows: int = BIN_ROWS) -> DataFrame:
     """``id, size, source_size, target, taken`` and the key, for each row. ``quality``: a positive weight, by default :func:`quality_weight`."""
-    return _mix(docs, id, text, source, quality, seed, bin_rows, F.lit(None).cast("binary")).drop("row")
+    return _mix(docs, id, text, source, quality, seed, bin_rows, F.lit(None).cast("binary")).drop("row", "times")
 
 
 def _mix(docs: DataFrame, id: str, text: str, source: str, quality: Column | None, seed: int, bin_rows: int, row: Column) -> DataFrame:
@@ -87,7 +90,7 @@ def _mix(docs: DataFrame, id: str, text: str, source: str, quality: Column | Non
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     # a bin that ends before the rest is spent goes whole, one that starts after it stays out
-    return _take(rows, plan).select(F.col("id").alias(id), "size", "source_size", "target", "taken", "key", "row")
+    return _take(rows, plan).select(F.col("id").alias(id), "size", "source_size", "target", "taken", "key", "row", "times")
 
 
 def _take(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -96,25 +99,27 @@ def _take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     done = joined.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     # the document at the edge is taken if that ends nearer to the target
     once = (F.col("before") + F.col("size") / 2 <= F.col("rest")) & (F.col("before") < F.col("rest"))
-    return done.withColumn("taken", F.col("size") * (F.col("epochs") + once.cast("long")))
+    times = F.when(F.col("source_size") == 0, 1).otherwise(F.col("epochs") + once.cast("long")).cast("long")
+    return done.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times"))
 
 
 def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken. An empty document that falls in an epoch is not repeated."""
-    row = F.unhex(F.sha2(F.concat(F.hex(row_key(F.col(id), F.col(text))), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))), 256))
-    times = F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")
-    drawn = _mix(docs, id, text, source, None, 20, BIN_ROWS, row).select(F.col("row").alias("__row"), times.alias("n"))
+    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    own = numbered(docs)
+    i, t, s = (place(docs, c) for c in (id, text, source))
+    row = F.unhex(F.sha2(F.concat(F.hex(row_key(F.col(i), F.col(t))), F.coalesce(F.concat(F.lit("="), F.col(s).cast("string")), F.lit(""))), 256))
+    drawn = _mix(own, i, t, s, None, 20, BIN_ROWS, row).select("row", F.col("times").cast("int").alias("n"))
     # rows equal in id, text and source are drawn as often, or some of them once more where the rest is spent
-    taken = drawn.groupBy("__row").agg(F.min("n").alias("__n"), F.max("n").alias("__most"), F.count("*").alias("__rows"), F.sum("n").alias("__sum")).where("__most > 0")
+    taken = drawn.groupBy("row").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("sum")).where("most > 0")
     taken = materialised(taken, "taken")
-    keyed = docs.withColumn("__row", row)
-    even, edge = taken.where("__n = __most"), taken.where("__n < __most")
-    joined = keyed.join(even, "__row").select(*docs.columns, "__n")
+    keyed = own.withColumn("row", row)
+    even, edge = taken.where("n = most"), taken.where("n < most")
+    joined = keyed.join(even, "row").select(*own.columns, "n")
     if not edge.isEmpty():  # one group a source at most
-        place = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
-        some = keyed.join(F.broadcast(edge), "__row").withColumn("__place", place)
-        joined = joined.unionByName(some.select(*docs.columns, F.when(F.col("__place") <= F.col("__sum") - F.col("__n") * F.col("__rows"), F.col("__most")).otherwise(F.col("__n")).alias("__n")).where("__n > 0"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+        at = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(1)))
+        some = keyed.join(F.broadcast(edge), "row").withColumn("at", at)
+        joined = joined.unionByName(some.select(*own.columns, F.when(F.col("at") <= F.col("sum") - F.col("n") * F.col("rows"), F.col("most")).otherwise(F.col("n")).alias("n")).where("n > 0"))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*own.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

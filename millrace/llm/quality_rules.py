@@ -7,7 +7,8 @@ repeated lines, repeated five-word windows) come from the same pass, so the text
 nothing is shuffled.
 
 Defined results: a null text counts as empty; an empty text has zero words and fails the base rule;
-null or repeated ids and any other columns pass through untouched; an empty table gives an empty one.
+null or repeated ids and any other columns, whatever their names, pass through untouched; a very long
+text is measured whole, with its words as numbers; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import numbered, place
+
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_STARTS = bytes(range(0x80, 0xC0))
@@ -116,8 +119,15 @@ def in_band(ratio: float, n_bytes: int) -> bool:
     return lowest <= ratio <= highest
 
 
-def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurements, ``base_failed`` and ``kept``, added as one struct column ``rules``."""
+def quality_rules(docs: DataFrame, text: str = "text", name: str = "rules") -> DataFrame:
+    """``docs`` with the measurements, ``base_failed`` and ``kept``, added as one struct column ``name``; underscores follow the name until no column has it."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    own = numbered(docs)
+    return _ruled(own, place(docs, text)).toDF(*docs.columns, name)
+
+
+def _ruled(docs: DataFrame, text: str) -> DataFrame:
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64()}
     fields = [pa.field(c.split()[0], kinds[c.split()[1]]) for c in COLUMNS.split(", ")] + [pa.field("base_failed", pa.bool_()), pa.field("kept", pa.bool_())]
@@ -141,9 +151,7 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """Only the rows the rules keep, with the columns of ``docs``."""
-    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    done = quality_rules(own, own.columns[docs.columns.index(text)])
-    return done.where("rules.kept").drop("rules").toDF(*docs.columns)
+    return _ruled(numbered(docs), place(docs, text)).where("rules.kept").drop("rules").toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

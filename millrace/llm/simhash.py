@@ -17,7 +17,9 @@ the shared folder; neither links nor fingerprints reach the driver.
 
 Defined results: null and empty texts, and those without a word, have fingerprint zero and are linked
 like any other; rows that repeat an id each get the component of their own fingerprint; a null id is
-never a component's id unless all its ids are null; an empty table gives an empty one.
+never a component's id unless all its ids are null; an empty table gives an empty one. Of a very long
+text every shingle counts; its words and 64 Ki hashes at a time are in memory. Other columns, whatever
+their names, pass through :func:`keep` untouched.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialised
+from millrace.llm.common import discard, materialised, numbered, place, row_key
 
 SHINGLE = 3
 SEED = 42
@@ -279,9 +281,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: rows whose id is not its component's least go; rows with a null id stay."""
-    gone = near_duplicates(docs, id, text).where(F.col(id) != F.col("component")).select(F.col(id).alias("__gone")).distinct()
-    return docs.join(gone, docs[id] == F.col("__gone"), "left_anti")
+    """One row of each group: the one with the least id, null ids last, ties by a digest of the text.
+
+    Rows are told apart by id and text, so a repeated id loses only the rows whose own text is a copy, and
+    rows with null ids are groups' members like others. Of rows equal in both one stays.
+    """
+    own = numbered(docs)
+    i, t = place(docs, id), place(docs, text)
+    keyed = own.withColumn("row", row_key(F.col(i), F.col(t)))
+    each = materialised(fingerprints(keyed.select(F.struct(F.col(i).isNull().alias("n"), F.col(i).alias("id"), "row").alias("who"), F.col(t).alias("text")), "who", "text"), "fingerprints")
+    distinct = materialised(each.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    found = components(links(distinct))
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    stays = materialised(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.row"), "stays")
+    often = each.groupBy("id.row").agg(F.count("*").alias("n")).where("n > 1").select("row")
+    often = materialised(stays.join(often, "row", "left_semi"), "often")
+    out = keyed.join(stays.join(often, "row", "left_anti"), "row", "left_semi").select(*own.columns)
+    if not often.isEmpty():  # rows equal in id and text: one of each, by partial aggregates before the shuffle
+        out = out.unionByName(keyed.join(often, "row", "left_semi").dropDuplicates(["row"]).select(*own.columns))
+    return out.toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
