@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from millrace.llm import decontaminate, licenses, line_dedup, mixture, pii, quality_gam, quality_rules, simhash, token_orc, warc
+from millrace.llm import decontaminate, licenses, line_dedup, mixture, pii, pipeline, quality_gam, quality_rules, simhash, token_orc, warc
 
 
 def _over(report: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": _over(warc.report, "pages"),
     "op9_token_orc": _over(token_orc.report, "documents"),
     "op10_quality_rules": _over(quality_rules.report, "documents"),
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
