@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.store import shared_folder
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
@@ -19,17 +23,15 @@ def friends_of_friends(edges: DataFrame) -> DataFrame:
     return two.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
 
 
-def distances(edges: DataFrame, start, most_steps: int = 10) -> DataFrame:
-    """Breadth-first distances from a node: each step joins the frontier only, and is written to the checkpoint folder to cut the plan."""
+def distances(edges: DataFrame, start, most_steps: int | None = None) -> DataFrame:
+    """Breadth-first distances from a node, to the last one that can be reached or to a number of steps: each step joins the frontier only, and is written to the checkpoint folder to cut the plan."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-graph-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     kind = edges.schema["src"].dataType
     seen = spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("distance"))
     frontier = seen
-    for step in range(1, most_steps + 1):
+    for step in count(1) if most_steps is None else range(1, most_steps + 1):
         found = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         frontier = found.join(seen, "id", "left_anti").withColumn("distance", F.lit(step)).checkpoint()
         if frontier.isEmpty():

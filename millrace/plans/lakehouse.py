@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +14,21 @@ from millrace.lake import LakeTable
 from millrace.operators.dedupe import latest
 from millrace.quality.engine import batch_gate
 from millrace.quality.validators import lake_orders, split
+from millrace.sources import store
 from millrace.sources.files import json_lines
 
 
 def store_bronze(folder: str, ds: str, content: bytes) -> tuple[str, bool]:
-    """An immutable file named by its content; storing the same bytes again does nothing."""
-    name = f"batch-{hashlib.sha256(content).hexdigest()[:12]}.jsonl"
-    path = Path(folder) / f"ingest_date={ds}" / name
-    if path.exists():
-        return str(path), False
-    path.parent.mkdir(parents=True, exist_ok=True)
-    tmp = path.with_suffix(".tmp")
-    tmp.write_bytes(content)
-    tmp.replace(path)
-    return str(path), True
+    """An immutable file named by its content, on any store; storing the same bytes again does nothing."""
+    spark = SparkSession.active()
+    path = f"{folder}/ingest_date={ds}/batch-{hashlib.sha256(content).hexdigest()[:12]}.jsonl"
+    if store.exists(spark, path):
+        return path, False
+    try:
+        store.write_bytes(spark, path, content)
+    except FileExistsError:  # another writer stored the same bytes meanwhile
+        return path, False
+    return path, True
 
 
 def silver_from_bronze(spark: SparkSession, bronze: str) -> tuple[DataFrame, DataFrame]:
@@ -72,15 +73,30 @@ class Day:
 
 
 class Lakehouse:
-    """Bronze files, and versioned silver, rejects and gold tables below one path."""
+    """Bronze files, versioned silver, rejects and gold tables, and each day's gate, below one path.
+
+    A day's gate is a small file: whether it was approved, its volume, and whether the day was published.
+    It outlives the process; only published days are the baseline that later volumes are judged by.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.silver = LakeTable(spark, f"{path}/silver", ("order_date",))
         self.rejects = LakeTable(spark, f"{path}/rejects", ("ds",))
         self.gold = {n: LakeTable(spark, f"{path}/gold/{n}") for n in GOLD}
-        self.approved: dict[str, bool] = {}
-        self.volumes: dict[str, int] = {}
+
+    def gate(self, ds: str) -> dict:
+        """What the gate said of a day; not approved if it was not asked."""
+        path = f"{self.path}/_gate/{ds}.json"
+        return json.loads(store.read_text(self.spark, path)) if store.exists(self.spark, path) else {"ds": ds, "approved": False, "published": False}
+
+    def _note(self, ds: str, **facts) -> None:
+        store.write_text(self.spark, f"{self.path}/_gate/{ds}.json", json.dumps(self.gate(ds) | facts), replace=True)
+
+    def volumes(self, before: str) -> list[int]:
+        """The rows of the published days before a day, in order."""
+        days = sorted(f.name[:-5] for f in store.listing(self.spark, f"{self.path}/_gate") if f.name.endswith(".json"))
+        return [g["rows"] for g in map(self.gate, (d for d in days if d < before)) if g["published"]]
 
     def _lines(self, ds: str) -> DataFrame:
         return lake_orders(json_lines(self.spark, f"{self.path}/bronze/ingest_date={ds}/*.jsonl", count_blank=False), "raw", fold=True)
@@ -97,14 +113,13 @@ class Lakehouse:
             (F.count(F.when(good, 1)) - F.countDistinct(F.when(good, F.col("clean.order_id")))).alias("duplicates"),
             ((end.cast("double") - F.max(F.when(good, F.col("clean.updated_at"))).cast("double")) / 3600).alias("age"),
         ).first()
-        gate = batch_gate(a["n"], a["rejected"], a["duplicates"], a["age"], [v for d, v in sorted(self.volumes.items()) if d < ds])
-        self.approved[ds] = gate["approved"]
-        self.volumes[ds] = a["n"]
+        gate = batch_gate(a["n"], a["rejected"], a["duplicates"], a["age"], self.volumes(ds))
+        self._note(ds, approved=gate["approved"], rows=a["n"])
         return gate, a["n"], a["rejected"]
 
     def load_silver(self, ds: str) -> None:
         """Merge a day's valid rows; an order's state never goes back. Needs an approved gate."""
-        if not self.approved.get(ds):
+        if not self.gate(ds)["approved"]:
             raise PermissionError(f"the gate has not approved {ds}")
         checked = self._lines(ds)
         batch = checked.where("reason IS NULL").select("clean.*", F.lit(ds).alias("_ingest_ds"), "line_no")
@@ -125,6 +140,7 @@ class Lakehouse:
             return Day("blocked", gate, read, rejected)
         self.load_silver(ds)
         self.build_gold()
+        self._note(ds, published=True)
         return Day("success", gate, read, rejected)
 
     def backfill(self, days: dict[str, bytes]) -> list[Day]:

@@ -110,14 +110,14 @@ def test_csv_sources(spark, tmp_path):
 
 
 def test_rest_pages_and_retries():
-    answers = {"http://a?page_size=2": [(503, {}, b""), (200, {}, b'{"results":[{"id":1},{"id":2}],"next":"http://a/2"}')], "http://a/2": [(429, {"Retry-After": "7"}, b""), (200, {}, b'{"results":[{"id":3}]}')], "http://b?page_size=1": [(404, {}, b"")], "http://c?page_size=1": [(500, {}, b"")] * 9}
+    answers = {"http://a?limit=2": [(503, {}, b""), (200, {}, b'{"results":[{"id":1},{"id":2}],"next":"http://a/2"}')], "http://a/2": [(429, {"Retry-After": "7"}, b""), (200, {}, b'{"results":[{"id":3}]}')], "http://b?limit=1": [(404, {}, b"")], "http://c?limit=1": [(500, {}, b"")] * 9}
     waits = []
     fetch = lambda u: answers[u].pop(0)
     assert [r["id"] for r in rest.pages("http://a", page_size=2, fetch=fetch, sleep=waits.append)] == [1, 2, 3] and waits == [1.0, 7.0]
     for base in ("http://b", "http://c"):
         with pytest.raises(OSError):
             list(rest.pages(base, page_size=1, fetch=fetch, sleep=waits.append))
-    assert len(answers["http://c?page_size=1"]) == 4
+    assert len(answers["http://c?limit=1"]) == 4
 
 
 def test_generators_do_not_depend_on_partitions(spark):
