@@ -61,15 +61,35 @@ def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10, eps
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Kolmogorov-Smirnov: the largest distance of two distribution functions. Equal values are counted first, then summed in bins of ranges."""
+    """Kolmogorov-Smirnov: the largest distance of two distribution functions. Equal values are counted first, then summed in bins of ranges, so no task sees all values."""
     both = a.select(column, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(column, F.lit(0).alias("x"), F.lit(1).alias("y"))).where(F.col(column).isNotNull())
     each = both.groupBy(column).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w = Window.orderBy(column)
+    binned = in_ranges(each, column)
     every = Window.partitionBy()
-    cum = each.select(F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy"), F.sum("x").over(every).alias("nx"), F.sum("y").over(every).alias("ny"))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
+    sums = binned.groupBy("bin").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    sums = sums.select("bin", *[F.coalesce(F.sum(f"s{c}").over(before), F.lit(0)).alias(f"b{c}") for c in "xy"], *[F.sum(f"s{c}").over(every).alias(f"n{c}") for c in "xy"])
+    within = Window.partitionBy("bin").orderBy(column)
+    cum = binned.join(F.broadcast(sums), "bin").select(*[(F.col(f"b{c}") + F.sum(c).over(within)).alias(f"c{c}") for c in "xy"], "nx", "ny")
     return cum.agg(F.round(F.max(F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))), 6).alias("ks"))
 
 
+def in_ranges(df: DataFrame, column: str, bins: int = 200) -> DataFrame:
+    """``df`` with ``bin``, a number that grows with a column: ranges between approximate quantiles, so each holds about as many rows."""
+    share = [i / bins for i in range(1, bins)]
+    edges = sorted(set(df.agg(F.percentile_approx(column, share, 10_000)).first()[0] or []))
+    return df.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(column))) if edges else F.lit(0))
+
+
+def row_index(df: DataFrame, column: str, name: str = "_rn", bins: int = 200) -> DataFrame:
+    """``df`` with the place of each row, from 1, in the order of a numeric column without ties: ranges are counted, then rows within one."""
+    binned = in_ranges(df, column, bins)
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
+    counts = binned.groupBy("bin").agg(F.count("*").alias("n")).select("bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy(column))
+    return binned.join(F.broadcast(counts), "bin").select(*df.columns, place.alias(name))
+
+
 def chi_square(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Chi-square of two samples over the categories of a column."""
     n = lambda df, name: df.groupBy(column).agg(F.count("*").alias(name))

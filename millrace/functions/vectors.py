@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Query vectors that are broadcast at a time.
+BLOCK_BYTES = 32 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,14 +29,19 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query, id, similarity, rank``: the exact k nearest by cosine. The stated queries, which must be few, are compared with all rows; each query keeps k rows per task before the merge."""
+    """``query, id, similarity, rank``: the exact k nearest by cosine. The stated queries are compared with all rows, in blocks of ``BLOCK_BYTES`` that are broadcast one by one; each query keeps k rows per task before the merge."""
     q = queries.select(F.col(id).alias("query"), F.col(vector).alias("__q"))
-    from millrace.operators.joins import broadcast_if_small
-
-    pairs = vectors.select(F.col(id).alias("id"), F.col(vector).alias("__v")).join(broadcast_if_small(q), F.lit(True)).where("query <> id")
-    scored = pairs.select("query", "id", F.round(cosine(F.col("__q"), F.col("__v")), 6).alias("similarity"))
+    n, width = q.agg(F.count("*"), F.max(F.size("__q"))).first()
+    blocks = max(1, math.ceil(n * (16 + 8 * (width or 0)) / BLOCK_BYTES))
+    rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("__v"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = []
+    for block in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else q
+        pairs = rows.join(F.broadcast(some), F.lit(True)).where("query <> id")
+        scored = pairs.select("query", "id", F.round(cosine(F.col("__q"), F.col("__v")), 6).alias("similarity"))
+        out.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, out)
 
 
 def assign_cells(vectors: DataFrame, centroids: list[list[float]], vector: str = "embedding") -> Column:

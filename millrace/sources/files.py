@@ -10,9 +10,9 @@ class PermanentError(ValueError):
     """Input that no retry will make good."""
 
 
-def csv_text(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """CSV with a header, all columns text; quoted fields may hold line breaks, a byte order mark is skipped."""
-    return spark.read.options(header="true", inferSchema="false", multiLine="true", quote='"', escape='"', **options).csv(path)
+def csv_text(spark: SparkSession, path: str, multi_line: bool = True, **options: str) -> DataFrame:
+    """CSV with a header, all columns text; a byte order mark is skipped. Quoted fields may hold line breaks with ``multi_line``, which reads a file in one task; without it large files are split."""
+    return spark.read.options(header="true", inferSchema="false", multiLine=str(multi_line).lower(), quote='"', escape='"', **options).csv(path)
 
 
 def csv_indexed(spark: SparkSession, path: str) -> DataFrame:
@@ -26,12 +26,20 @@ def csv_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, count_blank: bool = True) -> DataFrame:
-    """``source_file, line_no, raw`` of the lines that aren't blank. ``count_blank``: numbers are of physical lines, else of those that aren't blank."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    lines = F.split("value", "\r?\n")
-    keep = lines if count_blank else F.filter(lines, lambda x: F.trim(x) != "")
-    out = whole.select("source_file", F.posexplode(keep).alias("pos", "raw"))
-    return out.where("trim(raw) <> ''").select("source_file", (F.col("pos") + 1).alias("line_no"), "raw")
+    """``source_file, line_no, raw`` of the lines that aren't blank. ``count_blank``: numbers are of physical lines, else of those that aren't blank.
+
+    Files are read in splits: lines are numbered within their split, and splits start where the counts of
+    those before them in the file end. No file is one row, and no task holds one.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    if not count_blank:
+        lines = lines.where("trim(raw) <> ''")
+    before = Window.partitionBy("source_file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = lines.groupBy("source_file", "at").agg(F.count("*").alias("lines")).select("source_file", "at", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("source_file", "at").orderBy("n"))
+    numbered = lines.withColumn("place", within).join(starts, ["source_file", "at"])
+    return numbered.where("trim(raw) <> ''").select("source_file", (F.col("start") + F.col("place")).cast("int").alias("line_no"), "raw")
 
 
 def between_days(spark: SparkSession, path: str, column: str, first: str, last: str) -> DataFrame:

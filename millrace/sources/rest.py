@@ -23,27 +23,49 @@ def fetch_url(url: str) -> tuple[int, dict[str, str], bytes]:
         return e.code, dict(e.headers or {}), e.read()
 
 
-def with_retries(fetch: Fetch, url: str, retries: int = 4, first_wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """The body; waits 1, 2, 4, ... seconds, or what ``Retry-After`` says, after transient failures only."""
-    for n in range(retries + 1):
+def waits(first: float = 1.0, times: int = 4) -> list[float]:
+    """The pauses before each further attempt, every one twice as long."""
+    return [first * 2**n for n in range(times)]
+
+
+def _pause(headers: dict[str, str], planned: float) -> float:
+    said = headers.get("Retry-After", "")
+    return float(said) if said.replace(".", "", 1).isdigit() else planned
+
+
+def with_retries(fetch: Fetch, url: str, schedule: list[float] | None = None, sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """The body. Only transient failures are tried again, after the pauses of the schedule or what ``Retry-After`` says."""
+    attempts = 0
+    for planned in [*(waits() if schedule is None else schedule), None]:
         status, headers, body = fetch(url)
+        attempts += 1
         if status < 400:
             return body
-        if status not in TRANSIENT or n == retries:
-            raise OSError(f"{url}: status {status} after {n + 1} attempts")
-        said = headers.get("Retry-After", "")
-        sleep(float(said) if said.replace(".", "", 1).isdigit() else first_wait * 2**n)
-    raise AssertionError
-
-
-def pages(base: str, since: str | None = None, page_size: int = 100, fetch: Fetch = fetch_url, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """All rows: parameters go with the first page only, then ``next`` is followed."""
-    first = {"page_size": page_size} | ({"since": since} if since else {})
-    url: str | None = f"{base}?{urlencode(first)}"
-    while url:
-        body = json.loads(with_retries(fetch, url, sleep=sleep))
-        yield from body.get("results", body.get("data", []))
-        url = body.get("next")
+        if planned is None or status not in TRANSIENT:
+            break
+        sleep(_pause(headers, planned))
+    raise OSError(f"{url}: status {status} after {attempts} attempts")
+
+
+class Pages:
+    """The rows of a paged resource: ``limit`` and ``since`` go with the first page only, then ``next`` is followed."""
+
+    def __init__(self, base: str, since: str | None = None, page_size: int = 100, fetch: Fetch = fetch_url, sleep: Callable[[float], None] = time.sleep):
+        asked = {"limit": page_size, "since": since}
+        self.next: str | None = f"{base}?{urlencode({k: v for k, v in asked.items() if v})}"
+        self.fetch, self.sleep = fetch, sleep
+
+    def page(self) -> list[dict]:
+        body = json.loads(with_retries(self.fetch, self.next, sleep=self.sleep))
+        self.next = body.get("next")
+        return body.get("results", body.get("data", []))
+
+    def __iter__(self) -> Iterator[dict]:
+        while self.next:
+            yield from self.page()
+
+
+pages = Pages
 
 
 class _Reader(DataSourceReader):

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from itertools import batched
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
-def by_partition(df: DataFrame, path: str, columns: list[str], files_per_partition: int | None = 1, codec: str = "zstd") -> None:
-    """Hive-partitioned Parquet. Rows are dealt out by the partition columns first, so that a partition has few files, not one from each task; ``None`` leaves the rows where they are."""
-    if files_per_partition:
+def by_partition(df: DataFrame, path: str, columns: list[str], files_per_partition: int | str | None = "by size", codec: str = "zstd") -> None:
+    """Hive-partitioned Parquet. Rows are dealt out by the partition columns first, so that a partition has few files, not one from each task.
+
+    ``"by size"`` rebalances: a small partition is one task's, a large one is split into tasks of the
+    advisory size. A number spreads each over as many tasks; ``None`` leaves the rows where they are.
+    """
+    if files_per_partition == "by size":
+        df = df.hint("rebalance", *columns)
+    elif files_per_partition:
         salt = [F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))] if files_per_partition > 1 else []
         df = df.repartition(*columns, *salt)
     df.write.mode("overwrite").option("compression", codec).partitionBy(*columns).parquet(path)
@@ -19,6 +28,16 @@ def replace_partitions(df: DataFrame, path: str, columns: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
+def in_batches(df: DataFrame, size: int, send: Callable[[list[Row]], None]) -> None:
+    """Hands the rows of each partition to ``send`` in lists of at most ``size``, where they are. A task that runs again sends again, so ``send`` must not mind."""
+
+    def run(rows: Iterator[Row]) -> None:
+        for batch in batched(rows, size):
+            send(list(batch))
+
+    df.foreachPartition(run)
+
+
 def with_files(df: DataFrame, files: int) -> DataFrame:
     """Fewer files without a shuffle, more with one."""
     return df.coalesce(files) if files < df.rdd.getNumPartitions() else df.repartition(files)
