@@ -62,14 +62,13 @@ def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10, eps
 
 def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Kolmogorov-Smirnov: the largest distance of two distribution functions. Equal values are counted first, then summed in bins of ranges, so no task sees all values."""
-    both = a.select(column, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(column, F.lit(0).alias("x"), F.lit(1).alias("y"))).where(F.col(column).isNotNull())
-    each = both.groupBy(column).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    binned = in_ranges(each, column)
+    both = a.select(F.col(column).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(F.col(column).alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y"))).where("v IS NOT NULL")
+    binned = in_ranges(both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "v")
     every = Window.partitionBy()
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
     sums = binned.groupBy("bin").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
     sums = sums.select("bin", *[F.coalesce(F.sum(f"s{c}").over(before), F.lit(0)).alias(f"b{c}") for c in "xy"], *[F.sum(f"s{c}").over(every).alias(f"n{c}") for c in "xy"])
-    within = Window.partitionBy("bin").orderBy(column)
+    within = Window.partitionBy("bin").orderBy("v")
     cum = binned.join(F.broadcast(sums), "bin").select(*[(F.col(f"b{c}") + F.sum(c).over(within)).alias(f"c{c}") for c in "xy"], "nx", "ny")
     return cum.agg(F.round(F.max(F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))), 6).alias("ks"))
 

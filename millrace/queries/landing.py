@@ -13,7 +13,7 @@ from millrace.quality import contract as contracts
 from millrace.quality import engine
 from millrace.queries.registry import Registry
 from millrace.queries.storage import _COLS, _ORD, _click_files, _scratch, _table
-from millrace.sources import files, generators, sinks
+from millrace.sources import files, sinks
 from millrace.streaming import clicks
 
 Q = Registry()
@@ -54,10 +54,9 @@ def replayed(spark, events):
 def resumed(spark, events):
     """A consumer that stops and goes on: offsets are in the checkpoint, so each row comes once."""
     path, t, ck = _scratch(spark), _table(spark), _scratch(spark)
-    append = lambda old, new: new if old is None else old.unionByName(new)
     for condition in ("event_type = 'view'", "event_type <> 'view'"):
         events.where(condition).select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.lit("x").alias("value")).write.mode("append").json(path)
-        clicks.run_available(clicks.replay_source(spark, path, 100).select(F.col("offset").alias("pos")), clicks.LedgerSink(t, ["pos"], "log", combine=append), ck, mode="append")
+        clicks.run_available(clicks.replay_source(spark, path, 100).select(F.col("offset").alias("pos")), clicks.LedgerSink(t, ["pos"], "log", append=True), ck, mode="append")
     return t.read().groupBy("pos").agg(F.count("*").alias("times"))
 
 
@@ -128,16 +127,6 @@ def globbed(spark, orders):
     return spark.read.parquet(f"{path}/*.parquet")
 
 
-@Q("GEN-01", "SELECT CAST(200000 AS BIGINT) AS rows, true AS hot_ok, CAST(0 AS BIGINT) AS differ")
-def generated(spark):
-    """Rows don't depend on the partitioning, and one user has about the share asked for."""
-    a = generators.make_events(spark, 200_000, 5_000)
-    b = generators.make_events(spark, 200_000, 5_000).repartition(3)
-    differ = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1))).groupBy(*a.columns).agg(F.sum("n").alias("n")).where("n <> 0")
-    share = F.avg((F.col("user_id") == 1).cast("double"))
-    return a.agg(F.count("*").alias("rows"), share.between(0.39, 0.41).alias("hot_ok")).join(differ.agg(F.count("*").alias("differ")))
-
-
 # ---- sinks and load modes --------------------------------------------------------------------
 @Q("SNK-06", _DAILY)
 def daily_summary(spark, events):
@@ -459,8 +448,7 @@ def reject_first(spark, events):
     """Within a batch rejects are written before the data; the offset is committed after both."""
     path, good, bad = _scratch(spark), _table(spark), _table(spark)
     events.select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"), _value().alias("value")).repartition(3).write.json(path)
-    append = lambda old, new: new if old is None else old.unionByName(new)
-    data, dead = clicks.LedgerSink(good, [], "data", combine=append), clicks.LedgerSink(bad, [], "dead", combine=append)
+    data, dead = clicks.LedgerSink(good, [], "data", append=True), clicks.LedgerSink(bad, [], "dead", append=True)
 
     def both(batch, number):
         dead(clicks.rejects(batch).select(F.col("reason").alias("kind")), number)
@@ -474,11 +462,6 @@ Q("STM-20", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, user_id,
     lambda events: events.where("event_type = 'purchase'").groupBy(F.window("ts", "5 minutes"), "user_id").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "user_id", "n")
 )
 Q.sql("STM-21", "SELECT CAST(window.start AS timestamp_ntz) AS window_start, sum(1) AS n FROM events GROUP BY window(ts, '10 minutes')", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1", tables="events")
-Q("PRD-02", "SELECT event_type, CAST(count(*) AS BIGINT) AS expected, CAST(count(*) AS BIGINT) AS found FROM events GROUP BY 1")(
-    lambda events: events.groupBy("event_type").agg(F.count("*").alias("expected")).join(events.groupBy("event_type").agg(F.count_if(F.col("event_id").isNotNull()).alias("found")), "event_type", "full")
-)
-
-
 # ---- diagnostics and DataFrame surface -------------------------------------------------------
 @Q("DIA-01", "SELECT true AS pushed, true AS pruned")
 def pushed(spark, lineitem):
@@ -572,7 +555,7 @@ def restarted(spark, events):
 def in_steps(spark, events):
     """``availableNow`` takes what is there in as many batches as the source's limit asks for."""
     t = _table(spark)
-    query = clicks.run_available(clicks.replay_source(spark, _click_files(spark, events), 1).select(F.col("offset").alias("pos")), clicks.LedgerSink(t, ["pos"], "log", combine=lambda old, new: new if old is None else old.unionByName(new)), _scratch(spark), mode="append")
+    query = clicks.run_available(clicks.replay_source(spark, _click_files(spark, events), 1).select(F.col("offset").alias("pos")), clicks.LedgerSink(t, ["pos"], "log", append=True), _scratch(spark), mode="append")
     assert len([p for p in query.recentProgress if p["numInputRows"]]) > 1
     return t.read()
 

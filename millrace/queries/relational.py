@@ -62,7 +62,7 @@ Q.sql("SET-03", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nation
 Q.sql("SET-03b", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000", tables="nation supplier")
 Q.sql("SET-03c", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", tables="customer supplier")
 
-Q.sql("SRT-01", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer ORDER BY segment ASC NULLS LAST, c_custkey DESC LIMIT 1000", tables="customer")
+Q.sql("SRT-01", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer ORDER BY segment ASC NULLS LAST, c_custkey DESC", tables="customer")
 Q.sql("SRT-02", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10", tables="orders")
 Q.sql("SRT-03", f"SELECT o_custkey, CAST(sum({M}) AS DECIMAL(18,2)) AS total FROM orders GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 10", tables="orders")
 

@@ -93,11 +93,12 @@ class LedgerSink:
     """``foreachBatch`` into a lake table: a batch's data and its number are committed as one version, so a replayed batch changes nothing.
 
     Only the files that hold a key of the batch are read and rewritten; ``combine`` sees their rows, so its
-    result for a key must depend on that key's rows alone.
+    result for a key must depend on that key's rows alone. Without keys it sees the whole table. With
+    ``append`` the batch's rows are added, and no file is read.
     """
 
-    def __init__(self, table, keys: list[str], query: str, combine: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None):
-        self.table, self.keys, self.query, self.combine = table, keys, query, combine
+    def __init__(self, table, keys: list[str], query: str, combine: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None, append: bool = False):
+        self.table, self.keys, self.query, self.combine, self.append = table, keys, query, combine, append
 
     def applied(self) -> int:
         m = self.table.manifest()
@@ -108,9 +109,10 @@ class LedgerSink:
             return
         m = self.table.manifest()
         ledger = {**(m or {}).get("ledger", {}), self.query: number}
-        if m is None:
-            new = self.combine(None, batch) if self.combine else batch
-            self.table._commit(self.table._put(new), new.schema, "batch", None, ledger=ledger)
+        if m is None or self.append or not self.keys:
+            new = batch if self.append or not self.combine else self.combine(None if m is None else self.table.read(), batch)
+            before = m["files"] if m and self.append else []
+            self.table._commit(before + self.table._put(new), new.schema, "batch", m["version"] if m else None, ledger=ledger)
             return
         # without a rule, values are absolute: the batch's rows replace those of their keys
         replace = lambda old, new: old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new)

@@ -146,3 +146,59 @@ def test_stage_stats(spark):
     spark.range(1000).repartition(3).count()
     stages = diagnostics.stage_stats(spark)
     assert stages and max(s["tasks"] for s in stages) > 0 and any(s["shuffle_write"] > 0 for s in stages)
+
+
+def test_counts_by_hash_partition_and_sketches_against_plain_counts(spark, data):
+    """AGG-27 and AGG-11 have no SQL: partitions are Spark's own hash, sketches have an error."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    n = [0] * 16
+    for r in events.select(F.pmod(F.hash("user_id"), F.lit(16)).alias("p")).collect():
+        n[r["p"]] += 1
+    full = sorted(x for x in n if x)
+    middle = (full[(len(full) - 1) // 2] + full[len(full) // 2]) / 2
+    got = catalog.QUERIES["AGG-27"](spark, data).first()
+    assert got["most"] == max(n) and got["middle"] == int(middle) and abs(got["ratio"] - max(n) / int(middle)) < 0.01
+    users, values = {}, {}
+    for r in events.select("event_type", "user_id", "value").collect():
+        users.setdefault(r["event_type"], set()).add(r["user_id"])
+        if r["value"] is not None:
+            values.setdefault(r["event_type"], []).append(r["value"])
+    for r in catalog.QUERIES["AGG-11"](spark, data).collect():
+        exact, v = len(users[r["event_type"]]), sorted(values[r["event_type"]])
+        assert abs(r["users"] - exact) <= max(2, 0.1 * exact) and abs(r["hll_users"] - exact) <= max(2, 0.1 * exact)
+        rank = sum(x <= r["median"] for x in v) / len(v)
+        assert abs(rank - 0.5) <= 0.02 + 1 / len(v)
+
+
+def test_registered_hmac_against_the_library(spark, data):
+    import hashlib
+    import hmac
+
+    names = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
+    got = {r["c_custkey"]: r["pseudonym"] for r in catalog.QUERIES["HSH-03"](spark, data).collect()}
+    assert got == {k: hmac.new(b"pepper", n.encode(), hashlib.sha256).hexdigest() for k, n in names.items()}
+
+
+def test_graph_distances_reach_the_end(spark):
+    chain = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.distances(chain, 0).agg(F.max("distance")).first()[0] == 30
+    assert graph.distances(chain, 0, 4).agg(F.max("distance")).first()[0] == 4
+
+
+def test_queries_in_blocks_find_the_same(spark, data, monkeypatch):
+    v = spark.read.parquet(f"{data}/embeddings.parquet")
+    q = v.where("vec_id % 100 = 0")
+    want = rows(vectors.top_k(v, q, 5), "query", "rank")
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 300)
+    assert rows(vectors.top_k(v, q, 5), "query", "rank") == want
+
+
+def test_ks_and_row_index_in_ranges(spark):
+    from millrace.functions import features
+
+    df = spark.range(5000).select(F.col("id"), ((F.col("id") * 7919) % 5003).alias("v"))
+    assert [r["_rn"] for r in features.row_index(df, "v", bins=7).orderBy("v").collect()] == list(range(1, 5001))
+    a, b = df.where("v < 2000").select(F.col("v").cast("double").alias("x")), df.select(F.col("v").cast("double").alias("x"))
+    left, right = sorted(r[0] for r in a.collect()), sorted(r[0] for r in b.collect())
+    want = max(abs(sum(x <= p for x in left) / len(left) - sum(x <= p for x in right) / len(right)) for p in right[::50] + [1999.0])
+    assert abs(features.ks_statistic(a, b, "x").first()[0] - want) < 1e-3
