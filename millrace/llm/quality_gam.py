@@ -14,7 +14,8 @@ training and scoring read. Labels, language, source and id are never features.
 Defined results: null and empty texts have all-zero features and are scored like any other; rows
 labelled more than once count with their highest label, null labels not at all; a null id is never
 held out and never trained on; without labels of both kinds the model is the constant share of label 1
-(one half without any label); an empty table gives an empty one.
+(one half without any label); a very long text is measured whole, its words as numbers; other columns are
+not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
