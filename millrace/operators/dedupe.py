@@ -38,9 +38,31 @@ def normalised_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+def _pieces(length: Column, k: int) -> list[tuple[Column, Column]]:
+    """Where the ``k + 1`` pieces of a text of some length start, from 1, and how long they are."""
+    cuts = [F.floor(length * i / (k + 1)).cast("int") for i in range(k + 2)]
+    return [(a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def similar_names(df: DataFrame, id: str, name: str, block: Column, most_edits: int = 2) -> DataFrame:
-    """Pairs ``a < b`` within a block whose normalised names differ by at most ``most_edits``."""
-    rows = df.select(F.col(id).alias("id"), normalised_name(F.col(name)).alias("name"), block.alias("block"))
-    a, b = rows.select(F.col("id").alias("a"), F.col("name").alias("name_a"), "block"), rows.select(F.col("id").alias("b"), F.col("name").alias("name_b"), "block")
-    edits = F.levenshtein("name_a", "name_b")
-    return a.join(b, "block").where("a < b").withColumn("edits", edits).where(F.col("edits") <= most_edits).select("a", "b", "edits")
+    """Pairs ``a < b`` within a block whose normalised names differ by at most ``most_edits``.
+
+    Different names meet only where they can be that close: of ``most_edits + 1`` pieces of one, some piece
+    stands unchanged in the other, shifted by no more than the edits. The join is on such pieces; rows of
+    equal names meet through their name.
+    """
+    rows = df.select(F.col(id).alias("id"), normalised_name(F.col(name)).alias("name"), block.alias("block")).where("id IS NOT NULL AND name IS NOT NULL AND block IS NOT NULL")
+    names = rows.select("block", "name").distinct()
+    key = lambda length, i, piece: F.struct(length.cast("int").alias("length"), F.lit(i).alias("i"), piece.alias("piece"))
+    own = [key(F.length("name"), i, F.substring("name", at, n)) for i, (at, n) in enumerate(_pieces(F.length("name"), most_edits))]
+    other = []
+    for longer in range(-most_edits, most_edits + 1):
+        length = F.length("name") + longer
+        for i, (at, n) in enumerate(_pieces(length, most_edits)):
+            other += [F.when((length >= 0) & (at + shift >= 1), key(length, i, F.substring("name", at + shift, n))) for shift in range(-most_edits, most_edits + 1)]
+    left = names.select("block", F.col("name").alias("x"), F.explode(F.array_distinct(F.array(*own))).alias("piece"))
+    right = names.select("block", F.col("name").alias("y"), F.explode(F.array_distinct(F.array_compact(F.array(*other)))).alias("piece"))
+    met = left.join(right, ["block", "piece"]).select("block", "x", "y").distinct()
+    close = met.withColumn("edits", F.levenshtein("x", "y")).where(F.col("edits") <= most_edits)
+    a, b = rows.select("block", F.col("name").alias("x"), F.col("id").alias("a")), rows.select("block", F.col("name").alias("y"), F.col("id").alias("b"))
+    return close.join(a, ["block", "x"]).join(b, ["block", "y"]).where("a < b").select("a", "b", "edits")

@@ -44,12 +44,21 @@ def version_join(facts: DataFrame, dim: DataFrame, key: str, time: str, valid_fr
 def overlaps(df: DataFrame, key: str, start: str, end: str, id: str) -> DataFrame:
     """Pairs ``a < b`` of rows of a key whose intervals ``[start, end)`` overlap.
 
-    A row can only overlap with those that start before it ends; rows are bucketed by nothing but the
-    key, so this is for health checks of versions, where a key has few rows.
+    In the order of their starts, those that start within an interval follow it without a gap, up to the
+    number of starts before its end. That number comes from one ordered window over starts and ends, and the
+    pairs from a join on places, so the work grows with rows and results, not with a key's pairs. An id
+    stands once in its key; null keys meet nothing.
     """
-    a = df.select(F.col(key).alias("key"), F.col(id).alias("a"), F.col(start).alias("a_from"), F.col(end).alias("a_to"))
-    b = df.select(F.col(key).alias("key"), F.col(id).alias("b"), F.col(start).alias("b_from"), F.col(end).alias("b_to"))
-    return a.join(b, "key").where("a < b AND a_from < b_to AND b_from < a_to").select("key", "a", "b")
+    rows = df.select(F.col(key).alias("key"), F.col(id).alias("id"), F.col(start).alias("from"), F.col(end).alias("to")).where("key IS NOT NULL")
+    starts = rows.select("*", F.col("from").alias("t"), F.lit(1).alias("starts"))
+    both = starts.unionByName(rows.select("*", F.col("to").alias("t"), F.lit(0).alias("starts")))
+    order = Window.partitionBy("key").orderBy("t", "starts", "id").rowsBetween(Window.unboundedPreceding, 0)  # an end comes before the starts at its time
+    counted = both.withColumn("n", F.sum("starts").over(order))
+    left = counted.where("starts = 1").select("key", "id", "from", "to", F.col("n").alias("place"))
+    last = counted.where("starts = 0").select("key", F.col("id").alias("of"), F.col("n").alias("last"))
+    spans = left.join(last, (left.key == last.key) & (left.id == last.of)).where("last > place").select(left.key, left.id.alias("x"), left["from"].alias("x_from"), left.to.alias("x_to"), F.explode(F.sequence(F.col("place") + 1, "last")).alias("place"))
+    found = spans.join(left, ["key", "place"]).where("x <> id AND x_from < to AND from < x_to")
+    return found.select("key", F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
 
 def hot_keys(df: DataFrame, key: str, min_share: float = 0.05, sample: float | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def friends_of_friends(edges: DataFrame) -> DataFrame:
-    """Pairs two steps apart that are not linked themselves, with the number of ways."""
+    """Pairs two steps apart that are not linked themselves, with the number of ways. The result holds the pairs among each node's neighbours: it grows with the squares of the degrees."""
     a = edges.select(F.col("src").alias("a"), F.col("dst").alias("via"))
     b = edges.select(F.col("src").alias("via"), F.col("dst").alias("b"))
     two = a.join(b, "via").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("ways"))

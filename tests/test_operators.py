@@ -202,3 +202,33 @@ def test_ks_and_row_index_in_ranges(spark):
     left, right = sorted(r[0] for r in a.collect()), sorted(r[0] for r in b.collect())
     want = max(abs(sum(x <= p for x in left) / len(left) - sum(x <= p for x in right) / len(right)) for p in right[::50] + [1999.0])
     assert abs(features.ks_statistic(a, b, "x").first()[0] - want) < 1e-3
+
+
+def test_overlaps_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(k % 3, i, a, a + rng.randint(0, 9)) for i, (k, a) in enumerate((rng.randint(0, 5), rng.randint(0, 40)) for _ in range(120))] + [(None, 900, 0, 99), (None, 901, 0, 99)]
+    want = sorted((k, i, j) for k, i, a, b in data for l, j, c, d in data if k == l and k is not None and i < j and a < d and c < b)
+    got = joins.overlaps(spark.createDataFrame(data, "k int, id int, s int, e int"), "k", "s", "e", "id")
+    assert rows(got) and sorted(rows(got)) == want
+
+
+def test_similar_names_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(70)] + ["river stone", "rivr stone", "iver stonee", "river stone", None]
+    df = spark.createDataFrame([(i, n, i % 2) for i, n in enumerate(names)], "id int, name string, block int")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    want = sorted((i, j, distance(a, b)) for i, a in enumerate(names) for j, b in enumerate(names) if a is not None and b is not None and i < j and i % 2 == j % 2 and distance(a, b) <= 2)
+    assert sorted(rows(dedupe.similar_names(df, "id", "name", F.col("block")))) == want
