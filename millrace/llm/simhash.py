@@ -11,8 +11,9 @@ compared there on all 64 bits.
 Scale: fingerprints are made distinct before they are replicated, so copies cost one row. What an
 anchor holds is streamed through a task, compared in blocks with vectors, and only a spanning forest
 of its links leaves, never its pairs. An anchor with more than ``OVERFLOW`` fingerprints is dealt out
-anew by the bytes of the other half (of four bytes one is equal, as at most three bits differ), so no
-anchor has a cap and none is lost. Components come from alternating star contraction over tables in
+anew by the bytes of the other half (of four bytes one is equal, as at most three bits differ), what is
+still as large by three of six pieces of it, and then by five of eight, so no anchor has a cap and none is
+lost. Components come from alternating star contraction over tables in
 the shared folder; neither links nor fingerprints reach the driver.
 
 Defined results: null and empty texts, and those without a word, have fingerprint zero and are linked
@@ -25,11 +26,12 @@ their names, pass through :func:`keep` untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, materialised, numbered, place, row_key
@@ -39,6 +41,8 @@ SEED = 42
 MOST_BITS = 3
 #: Rows of one anchor that a task compares by itself; beyond it they are dealt out by a second key.
 OVERFLOW = 1 << 19
+#: How such an anchor is dealt out, level by level: of so many pieces of the other half, by each choice of so many.
+FINER = ((4, 1), (6, 3), (8, 5))
 _BLOCK = 1024
 
 
@@ -227,22 +231,40 @@ def _meet(overflow: int | None):
     return run
 
 
+def _dealt(rows: DataFrame, n: int, same: int) -> DataFrame:
+    """``key, away, fp`` of rows of one anchor each (``key``), dealt out by every choice of ``same`` of ``n`` pieces of the other half."""
+    cuts = [32 * i // n for i in range(n + 1)]
+    other = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
+    choices = list(combinations(range(n), same))
+
+    def value(choice: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in choice:
+            bits = cuts[i + 1] - cuts[i]
+            out = F.shiftleft(out, bits) + F.shiftright(other, cuts[i]).bitwiseAND(F.lit((1 << bits) - 1))
+        return out
+
+    dealt = F.explode(F.array(*[value(c) * len(choices) + i for i, c in enumerate(choices)]))
+    # the key keeps its side in the lowest bit and its anchor above it
+    return rows.select("key", "away", "fp", dealt.alias("part")).select((F.shiftleft("part", 33) + F.col("key")).alias("key"), "away", "fp")
+
+
 def links(distinct: DataFrame, overflow: int = OVERFLOW) -> DataFrame:
     """Links ``a``, ``b`` that connect whatever the links of at most three bits connect. ``distinct``: column ``fp``, each value once."""
 
     def met(rows: DataFrame, cap: int | None) -> DataFrame:
         dealt = rows.repartition("key").sortWithinPartitions("key", "away", "fp")
-        return dealt.mapInArrow(_meet(cap), "a long, b long, key long, away boolean")
+        return materialised(dealt.mapInArrow(_meet(cap), "a long, b long, key long, away boolean"), "links")
 
-    out = materialised(met(distinct.select("fp").mapInArrow(_replicate, "key long, away boolean, fp long"), overflow), "links")
+    out = met(distinct.select("fp").mapInArrow(_replicate, "key long, away boolean, fp long"), overflow)
     pairs = out.where("key is null").select("a", "b")
-    again = out.where("key is not null")
-    if not again.isEmpty():
-        other = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("a", 32)).otherwise(F.col("a")).bitwiseAND(F.lit(0xFFFFFFFF))
-        part = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(other, 8 * i).bitwiseAND(F.lit(255)).alias("v")) for i in range(4)]))
-        # the key keeps its side in the lowest bit, its anchor above it, then the byte's place and value
-        finer = again.select("key", "away", F.col("a").alias("fp"), part.alias("p")).select(((F.col("p.v") * 4 + F.col("p.i")).cast("long") * F.lit(1 << 33) + F.col("key")).alias("key"), "away", "fp")
-        pairs = pairs.unionByName(materialised(met(finer, None), "links").select("a", "b"))
+    for level, (n, same) in enumerate(FINER):
+        again = out.where("key is not null")
+        if again.isEmpty():
+            break
+        rows = again.select(F.col("key").bitwiseAND(F.lit((1 << 33) - 1)).alias("key"), "away", F.col("a").alias("fp")).distinct()
+        out = met(_dealt(rows, n, same), overflow if level + 1 < len(FINER) else None)
+        pairs = pairs.unionByName(out.where("key is null").select("a", "b"))
     return pairs.distinct()
 
 
