@@ -260,7 +260,7 @@ def clustered(n, seed=3):
     return sorted(fps)
 
 
-@pytest.mark.parametrize("overflow", [1 << 19, 40])
+@pytest.mark.parametrize("overflow", [1 << 19, 40, 8])
 def test_links_connect_what_brute_force_connects(spark, overflow):
     """Also where anchors hold so many fingerprints that they are dealt out by a second key."""
     fps = clustered(1500)
