@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import day, empty_to_null, first_reason, instant
 
 # Domains of the fields.
-STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
+STATES = ["AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO"]
 STATUSES = ["created", "paid", "shipped", "canceled"]
 LAKE_STATUSES = ["created", "paid", "shipped", "delivered", "canceled"]
 LAKE_FIELDS = ["order_id", "customer_id", "country", "category", "amount", "status", "order_date", "updated_at"]
