@@ -89,7 +89,7 @@ def canonical(text: Column) -> Column:
     lower = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, ""), _UPPER, _LOWER)
     plain = F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
     table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
-    words = F.transform(F.split(plain, " "), lambda w: F.coalesce(F.element_at(table, w), w))
+    words = F.transform(F.split(plain, " "), lambda w: F.when(w.isin(*SPELLINGS), F.element_at(table, w)).otherwise(w))  # a set is asked before the map
     out = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))  # a word has its own space on either side, so phrases never overlap
     for phrase, same in PHRASES.items():
         out = F.replace(out, F.lit(f" {phrase.replace(' ', '  ')} "), F.lit(f" {same.replace(' ', '  ')} "))
