@@ -56,7 +56,7 @@ def overlaps(df: DataFrame, key: str, start: str, end: str, id: str) -> DataFram
     counted = both.withColumn("n", F.sum("starts").over(order))
     left = counted.where("starts = 1").select("key", "id", "from", "to", F.col("n").alias("place"))
     last = counted.where("starts = 0").select("key", F.col("id").alias("of"), F.col("n").alias("last"))
-    spans = left.join(last, (left.key == last.key) & (left.id == last.of)).where("last > place").select(left.key, left.id.alias("x"), left["from"].alias("x_from"), left.to.alias("x_to"), F.explode(F.sequence(F.col("place") + 1, "last")).alias("place"))
+    spans = left.join(last, (left["key"] == last["key"]) & (left["id"] == last["of"])).where("last > place").select(left["key"], left["id"].alias("x"), left["from"].alias("x_from"), left["to"].alias("x_to"), F.explode(F.sequence(F.col("place") + 1, "last")).alias("place"))
     found = spans.join(left, ["key", "place"]).where("x <> id AND x_from < to AND from < x_to")
     return found.select("key", F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
