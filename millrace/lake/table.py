@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.dedupe import merge_newer
-from millrace.operators.joins import broadcast_if_small
+from millrace.operators.joins import broadcast_if_small, row_bytes
 from millrace.sources import store
 
 #: Lists that a version names before they are made one.
@@ -121,9 +121,11 @@ class LakeTable:
         if m is None:
             raise ValueError("the table has no version yet")
         wanted = batch.select(*keys).distinct()
-        span = wanted.agg(F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")).first()
+        span = wanted.agg(F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high"), F.sum(row_bytes(wanted)).alias("bytes")).first()
+        small = broadcast_if_small(wanted, measured=span["bytes"] or 0)
+        met = wanted.hint("merge") if small is wanted else small  # else Spark may broadcast it by the size of its files
         near = F.col(keys[0]).between(F.lit(span["low"]), F.lit(span["high"]))  # row groups outside are skipped by their statistics
-        touched = self._holding(m, lambda df: df.where(near).join(broadcast_if_small(wanted), keys, "left_semi"))
+        touched = self._holding(m, lambda df: df.where(near).join(met, keys, "left_semi"))
         gone = {f["path"] for f in touched}
         new = combine(self.read(files=touched), batch).select(*T.StructType.fromJson(m["schema"]).names)
         return self._commit([f for f in m["files"] if f["path"] not in gone] + self._put(new), T.StructType.fromJson(m["schema"]), operation, m["version"], **details)

@@ -243,3 +243,24 @@ def test_the_last_order_is_ranked_by_its_date_wherever_rows_come_from(spark, tmp
     plan = df._jdf.queryExecution().optimizedPlan().toString()  # one executor reads its shuffled rows in order, so that results here don't show a lost one
     ranked = plan[plan.index("windowspecdefinition") :].split("\n", 1)[0]
     assert "o_orderdate" in ranked and "o_orderkey" in ranked and "DESC NULLS LAST" in ranked
+
+
+def test_broadcasts_go_by_rows_not_by_compressed_files(spark, tmp_path):
+    from millrace.lake import LakeTable
+
+    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    spark.range(3_000_000).select((F.col("id") % 7).alias("k")).write.parquet(f"{tmp_path}/a")
+    alike = spark.read.parquet(f"{tmp_path}/a")  # 24 MB in memory, next to nothing on disk
+    assert not hint(joins.broadcast_if_small(alike, 16 << 20)) and hint(joins.broadcast_if_small(alike, 64 << 20))
+    spark.range(100).select(F.expr("repeat('x', 100000)").alias("k")).write.parquet(f"{tmp_path}/b")
+    assert not hint(joins.broadcast_if_small(spark.read.parquet(f"{tmp_path}/b"), 1 << 20))
+
+    spark.range(3_000_000).select("id", F.lit(1).alias("v")).write.option("compression", "zstd").parquet(f"{tmp_path}/c")
+    batch, t, seen = spark.read.parquet(f"{tmp_path}/c"), LakeTable(spark, f"file://{tmp_path}/t"), []
+    t.merge(batch, ["id"], "v")
+    holding = t._holding
+    t._holding = lambda m, rows: seen.append(rows(t.read())._jdf.queryExecution().toString()) or holding(m, rows)
+    t.merge(batch, ["id"], "v")
+    t.merge(batch.where("id < 9").withColumn("v", F.lit(2)), ["id"], "v")
+    assert "Broadcast" not in seen[0] and "BroadcastHashJoin" in seen[1]
+    assert t.read().count() == 3_000_000 and rows(t.read().where("v = 2"), "id") == [(i, 2) for i in range(9)]
