@@ -18,7 +18,6 @@ batch of its own; other columns are not read; an empty table writes no rows.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import struct
@@ -37,10 +36,10 @@ from millrace.llm.common import scratch_path
 END_ID = 2
 STRIDE = 1000
 STRIPE_BYTES = 16 << 20
-#: What a cache holds at most, in an old and a new generation of half as many each.
+#: What the cache holds at most.
 CACHE_WORDS = 700_000
 #: Texts are encoded together until they have so many bytes.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 _SEPARABLE = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -58,20 +57,38 @@ def _as_bytes(ids: list[int]) -> bytes:
 
 
 class Recent:
-    """A cache in two generations: when the new one is full it becomes the old one, and what was the old one goes."""
+    """Words with their ids, at most ``most``, in flat arrays: some tens of bytes a word, several times less than as objects.
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most // 2, {}, {}
-
-    def find(self, keys: list) -> list:
-        """The values, None where a key is not known."""
-        new, old = self.new.get, self.old.get
-        return [new(k) or old(k) for k in keys]
+    When there is no room, words that were not met since the last time go.
+    """
 
-    def put(self, pairs: dict) -> None:
-        if len(self.new) + len(pairs) > self.most:
-            self.old, self.new = self.new, {}
-        self.new.update(pairs if len(pairs) <= self.most else {})
+    def __init__(self, most: int):
+        self.most = most
+        self._hold(pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    def _hold(self, words: pa.BinaryArray, size: np.ndarray, ids: np.ndarray) -> None:
+        self.words, self.size, self.ids = words, size, ids
+        self.first, self.met = np.cumsum(size) - size, np.zeros(len(size), bool)
+
+    def find(self, words: pa.BinaryArray) -> np.ndarray:
+        """The places of words, -1 where one is not known."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        self.met[at[at >= 0]] = True
+        return at
+
+    def put(self, new: dict[bytes, bytes]) -> None:
+        """Adds words that are not known yet, as many as there is room for."""
+        pairs = [(w, x) for w, x in new.items() if len(w) <= 64 and len(x) <= 256][: self.most]
+        words, size, ids = self.words, self.size, self.ids
+        if len(words) + len(pairs) > self.most:
+            keep = self.met & (np.cumsum(self.met) <= max(self.most // 2, self.most - len(pairs)))
+            words, ids, size = words.filter(pa.array(keep)), ids[np.repeat(keep, size)], size[keep]
+            pairs = pairs[: self.most - len(words)]
+        more = np.fromiter((len(x) // 4 for _, x in pairs), np.int64, len(pairs))
+        ids = np.concatenate([ids, np.frombuffer(b"".join(x for _, x in pairs), "<u4")])
+        met = self.met if len(words) == len(self.met) else np.zeros(len(words), bool)
+        self._hold(pa.concat_arrays([words, pa.array([w for w, _ in pairs], pa.binary())]), np.concatenate([size, more]), ids)
+        self.met[: len(met)] = met
 
 
 class Encoder:
@@ -90,15 +107,17 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self.known = Recent(CACHE_WORDS)
 
     def whole(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of words of plain letters; those not known go through the library together, and come apart where a piece ends."""
-        found = dict(zip(pieces, self.pieces.find(pieces), strict=True))
-        unknown = [p for p, ids in found.items() if ids is None]
+    def _pieces(self, pieces: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of words of plain letters that are known, and of the others: these go through the library together, and come apart where a piece ends."""
+        at = self.known.find(pa.array([p.encode() for p in pieces], pa.binary())).tolist()  # a piece is a word as well
+        raw, first, size = self.known.ids, self.known.first, self.known.size
+        known = {p: raw[first[i] : first[i] + size[i]].tobytes() for p, i in zip(pieces, at, strict=True) if i >= 0}
+        unknown, found = [p for p, i in zip(pieces, at, strict=True) if i < 0], {}
         for at in range(0, len(unknown), 50_000):
             some = unknown[at : at + 50_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -109,10 +128,10 @@ class Encoder:
             else:
                 new = {p: self.whole(p) for p in some}
             found |= new
-            self.pieces.put({p: ids for p, ids in new.items() if len(p) <= 64})
-        return found
+        return known, found
 
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, and of the pieces that some of them begin with."""
         bare, marked, rest = {}, {}, []
         for raw in words:
             if raw.isalpha():  # ASCII letters only
@@ -125,9 +144,10 @@ class Encoder:
                     bare[raw] = letters.lower()
             else:
                 rest.append(raw)
-        pieces = self._pieces(list(dict.fromkeys([*bare.values(), *(p for p, _ in marked.values())])))
+        known, fresh = self._pieces(list(dict.fromkeys([*bare.values(), *(p for p, _ in marked.values())])))
+        pieces = known | fresh
         marks = {m: self.whole(m) for m in {m for _, m in marked.values()}}
-        found = {raw: pieces[p] for raw, p in bare.items()}
+        found = {p.encode(): ids for p, ids in fresh.items()} | {raw: pieces[p] for raw, p in bare.items()}
         found.update((raw, pieces[p] + marks[m]) for raw, (p, m) in marked.items())
         return found | self._odd(rest)
 
@@ -159,19 +179,23 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy()
         places = split.flatten().dictionary_encode()
-        words = places.dictionary.cast(pa.binary()).to_pylist()
-        ids = self.words.find(words)
-        if unknown := [w for w, x in zip(words, ids, strict=True) if x is None]:
-            new = self._words(unknown)
-            ids = [x or new.get(w, b"") for w, x in zip(words, ids, strict=True)]
-            self.words.put({w: x for w, x in new.items() if len(w) <= 64})
-        ids.append(end)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        order = np.insert(places.indices.to_numpy(), bounds[1:] - bounds[0], len(ids) - 1)  # the end after each text's words
-        at = np.concatenate([[0], np.cumsum(size[order])])
-        first = np.concatenate([[0], np.cumsum(size)])[order]
-        place = np.arange(at[-1]) + np.repeat(first - at[:-1], size[order])
+        words = places.dictionary.cast(pa.binary())
+        known = self.known.find(words)
+        first, size = np.zeros((2, len(words) + 1), np.int64)  # of each word's ids; the last is the end
+        first[:-1][known >= 0], size[:-1][known >= 0], flat = self.known.first[known[known >= 0]], self.known.size[known[known >= 0]], self.known.ids
+        unknown = words.filter(pa.array(known < 0)).to_pylist()
+        new = self._words(unknown)
+        ids = [*(new.get(w, b"") for w in unknown), end]
+        lacking = np.append(known < 0, True)
+        size[lacking] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first[lacking] = len(flat) + np.cumsum(size[lacking]) - size[lacking]
+        flat = np.concatenate([flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.known.put(new)
+        order = np.insert(places.indices.to_numpy(), bounds[1:] - bounds[0], len(words))  # the end after each text's words
+        count = size[order]
+        at = np.concatenate([[0], np.cumsum(count)])
+        place = np.repeat(first[order] - at[:-1], count)
+        place += np.arange(len(place))
         return at[bounds - bounds[0] + np.arange(len(bounds))], flat[place]
 
 
@@ -199,7 +223,6 @@ def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and the caches are large to walk
         encoder, shard, pos = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in together(batch, 1, TOGETHER):

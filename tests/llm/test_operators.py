@@ -695,6 +695,33 @@ def test_token_files_round_trip(spark, docs, texts, edge, tmp_path):
     assert "PushedFilters: [In(doc_id, [7,9])" in few._jdf.queryExecution().executedPlan().toString()
 
 
+def test_known_words_take_little_memory_and_ids_stay_right_when_they_go(monkeypatch):
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path, most = public.path("word_bpe_49k.json"), 50_000
+    monkeypatch.setattr(token_orc, "CACHE_WORDS", most)
+    e, plain = token_orc.Encoder(path), Tokenizer.from_file(path)
+    letters = np.random.default_rng(5).integers(ord("a"), ord("z") + 1, (8, 20_000, 9), dtype=np.uint8)
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for block in letters:
+        words = [w.tobytes().decode() for w in block]
+        text = " ".join([*words[:40], "Os, os é É, x1 <|x|> a", *(w.title() + "," for w in words[:40]), *words])
+        at, ids = e.encode_all(pa.array([text, None, text[:500]]), 2)
+        for i, t in enumerate([text, "", text[:500]]):
+            assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
+    del at, ids, words, text, t
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 100 * most
+
+
 def test_other_tokenizers_encode_whole_texts(spark):
     from tokenizers import Tokenizer
 
